@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The surveyed dashboards read their table once at start-up; they have no
+stream, watermark, window or state. Every operator here is a plain
+DataFrame -> DataFrame function, so the stateless ones (filters, derived
+columns) also apply unchanged to a streaming DataFrame, but no streaming
+operator is built because the reference has none.
+"""
