@@ -555,3 +555,200 @@ _MONTHLY_SQL = ("SELECT CAST(strptime(ym || '-01', '%Y-%m-%d') AS TIMESTAMP) AS
 def q_trend_by_date(spark, d):
     """Monthly series with a trend line over the ordinal day number."""
     return SE.trend_by_date(SE.monthly_series(sales_view(spark, d)))
+
+
+class _Sql:
+    """Minimal SQL-text algebra so ``SE.solve3`` renders the same solve."""
+
+    def __init__(self, text):
+        self.t = text if isinstance(text, str) else repr(float(text))
+
+    def _b(self, op, other, rev=False):
+        o = other if isinstance(other, _Sql) else _Sql(other)
+        a, b = (o, self) if rev else (self, o)
+        return _Sql(f"({a.t} {op} {b.t})")
+
+    def __add__(self, o): return self._b("+", o)
+    def __radd__(self, o): return self._b("+", o, True)
+    def __sub__(self, o): return self._b("-", o)
+    def __rsub__(self, o): return self._b("-", o, True)
+    def __mul__(self, o): return self._b("*", o)
+    def __rmul__(self, o): return self._b("*", o, True)
+    def __truediv__(self, o): return self._b("/", o)
+    def __neg__(self): return _Sql(f"(-{self.t})")
+
+
+def _forecast_sql(horizon=6, alpha=5.0, min_months=8) -> str:
+    S = _Sql
+    n, sy = S("n"), S("sy")
+
+    def sxx(i, j):
+        a, b = min(i, j), max(i, j)
+        return S(f"s{a}{b}")
+
+    m = [[sxx(i, j) - S(f"s{i}") * S(f"s{j}") / n + (S(alpha) if i == j else S(0.0))
+          for j in range(3)] for i in range(3)]
+    v = [S(f"s{i}y") - S(f"s{i}") * sy / n for i in range(3)]
+    beta = SE.solve3(m, v)
+    b0 = sy / n - (beta[0] * S("s0") / n + beta[1] * S("s1") / n + beta[2] * S("s2") / n)
+    b = [S("b1"), S("b2"), S("b3")]
+    rss = (S("syy") - 2 * S("b0") * S("sy")
+           - 2 * (b[0] * S("s0y") + b[1] * S("s1y") + b[2] * S("s2y"))
+           + n * S("b0") * S("b0")
+           + 2 * S("b0") * (b[0] * S("s0") + b[1] * S("s1") + b[2] * S("s2"))
+           + sum((b[i] * b[j] * sxx(i, j) for i in range(3) for j in range(3)), S(0.0)))
+    w = SE.OMEGA
+    hist = f"""hist AS (SELECT ds, y, CAST(row_number() OVER (ORDER BY ds) - 1 AS DOUBLE) AS t FROM ({_MONTHLY_SQL})),
+hx AS (SELECT ds, y, t AS x0, sin({w!r} * t) AS x1, cos({w!r} * t) AS x2 FROM hist),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, sum(y * y) AS syy, max(ds) AS last_ds,
+              sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2, sum(x0 * y) AS s0y, sum(x1 * y) AS s1y,
+              sum(x2 * y) AS s2y, sum(x0 * x0) AS s00, sum(x0 * x1) AS s01, sum(x0 * x2) AS s02,
+              sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22 FROM hx),
+c1 AS (SELECT *, {b0.t} AS b0, {beta[0].t} AS b1, {beta[1].t} AS b2, {beta[2].t} AS b3 FROM st),
+c2 AS (SELECT n, last_ds, b0, b1, b2, b3,
+              CASE WHEN n > 1 THEN sqrt(greatest({rss.t}, 0.0) / (n - 1)) ELSE 0.0 END AS sigma
+       FROM c1 WHERE n >= {min_months}),
+fc AS (SELECT last_ds, step, b0 + b1 * tf + b2 * sin({w!r} * tf) + b3 * cos({w!r} * tf) AS yhat,
+              CASE WHEN sigma > 0 THEN 1.96 * sigma ELSE 0.0 END AS band
+       FROM (SELECT *, n - 1 + step AS tf FROM c2, range(1, {horizon + 1}) r(step)))"""
+    body = ("SELECT 'history' AS kind, ds, y, CAST(NULL AS DOUBLE) AS yhat, CAST(NULL AS DOUBLE) AS yhat_upper, "
+            "CAST(NULL AS DOUBLE) AS yhat_lower FROM hist UNION ALL "
+            "SELECT 'forecast', CAST(last_ds + to_months(CAST(step AS INTEGER)) AS TIMESTAMP), NULL, round(yhat, 2), "
+            "round(yhat + band, 2), round(yhat - band, 2) FROM fc")
+    return with_sales(body, hist)
+
+
+@register("forecast_monthly", _forecast_sql())
+def q_forecast_monthly(spark, d):
+    """Monthly history plus a 6-month seasonal ridge forecast with a band."""
+    return SE.forecast_monthly(sales_view(spark, d))
+
+
+@register("forecast_monthly_filtered", None)
+def q_forecast_monthly_filtered(spark, d):
+    """Forecast on a filtered view (LAST_3Y, ASIA) -- exercises gaps closed
+    up by the observed-month index."""
+    s = FL.apply_filters(sales_view(spark, d), preset="LAST_3Y", regions=["ASIA"])
+    return SE.forecast_monthly(s)
+
+
+# --- distributions -------------------------------------------------------------------
+
+from ordertide.functions.normal import probit_sql  # noqa: E402
+from ordertide.operators import dist as DI  # noqa: E402
+
+_FINITE = "isfinite(CAST(sales AS DOUBLE))"
+
+
+@register("sales_quantile", with_sales(
+    f"SELECT count(*) AS n, quantile_cont(CAST(sales AS DOUBLE), 0.75) AS quantile FROM sales WHERE {_FINITE}"))
+def q_sales_quantile(spark, d):
+    """Exact 0.75 quantile of sales (linear interpolation)."""
+    return DI.sales_quantile(sales_view(spark, d), 0.75, key=ROW_KEY)
+
+
+@register("histogram", with_sales("""
+SELECT b.bin, st.lo + b.bin * st.w AS bin_lo, st.lo + (b.bin + 1) * st.w AS bin_hi, COALESCE(c.cnt, 0) AS count
+FROM st, (SELECT CAST(range AS INTEGER) AS bin FROM range((SELECT k FROM st))) b
+LEFT JOIN (SELECT CAST(least(floor((x - lo) / w), k - 1) AS INTEGER) AS bin, count(*) AS cnt
+           FROM v, st GROUP BY 1) c ON b.bin = c.bin""", f"""v AS (SELECT CAST(sales AS DOUBLE) AS x FROM sales WHERE {_FINITE}),
+st0 AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi FROM v),
+st AS (SELECT lo, greatest(10, least(60, CAST(floor(sqrt(n)) AS INTEGER))) AS k,
+              (hi - lo) / greatest(10, least(60, CAST(floor(sqrt(n)) AS INTEGER))) AS w FROM st0)"""))
+def q_histogram(spark, d):
+    """Sales histogram, clamp(floor(sqrt n), 10, 60) equal-width bins."""
+    return DI.histogram(sales_view(spark, d), "sales")
+
+
+@register("rug", with_sales(f"SELECT {KEY}, CAST(sales AS DOUBLE) AS sales FROM sales WHERE {_FINITE}"))
+def q_rug(spark, d):
+    """Every finite sales value with its row key (the rug marks)."""
+    return DI.rug(sales_view(spark, d), "sales", ROW_KEY)
+
+
+def _hazen(p: float) -> str:
+    return f"least(greatest(CAST({p} AS DOUBLE) * CAST(n AS DOUBLE) - 0.5, 0.0), CAST(n AS DOUBLE) - 1)"
+
+
+def _interp(h: str) -> str:
+    return (f"CASE WHEN {h} - floor({h}) = 0 THEN max(CASE WHEN pos = floor({h}) THEN x END) ELSE "
+            f"max(CASE WHEN pos = floor({h}) THEN x END) + (max(CASE WHEN pos = ceil({h}) THEN x END) - "
+            f"max(CASE WHEN pos = floor({h}) THEN x END)) * max({h} - floor({h})) END")
+
+
+_BOX_CTE = f"""v AS (SELECT category AS g, CAST(sales AS DOUBLE) AS x,
+                     row_number() OVER (PARTITION BY category ORDER BY CAST(sales AS DOUBLE), {KEY}) - 1 AS pos,
+                     count(*) OVER (PARTITION BY category) AS n
+              FROM sales WHERE category IS NOT NULL AND {_FINITE}),
+q AS (SELECT g, max(n) AS n, {_interp(_hazen(0.25)).replace('max(CASE', 'max(CASE')} AS q1,
+             {_interp(_hazen(0.5))} AS median, {_interp(_hazen(0.75))} AS q3
+      FROM v GROUP BY g, n),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)"""
+
+
+@register("box_stats", with_sales("""
+SELECT f.g AS category, f.n, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence,
+       min(CASE WHEN v.x >= f.lower_fence AND v.x <= f.upper_fence THEN v.x END) AS whisker_low,
+       max(CASE WHEN v.x >= f.lower_fence AND v.x <= f.upper_fence THEN v.x END) AS whisker_high,
+       count(CASE WHEN NOT (v.x >= f.lower_fence AND v.x <= f.upper_fence) THEN 1 END) AS outliers
+FROM f JOIN v ON f.g = v.g
+GROUP BY f.g, f.n, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence""", _BOX_CTE))
+def q_box_stats(spark, d):
+    """Box-and-whisker numbers of sales per first usable group (category)."""
+    s = sales_view(spark, d)
+    g = FL.first_usable_group(s)
+    return DI.box_stats(s, "sales", g, key=ROW_KEY)
+
+
+@register("box_outliers", with_sales(f"""
+SELECT s.category, {', '.join('s.' + k.strip() for k in KEY.split(','))}, CAST(s.sales AS DOUBLE) AS sales
+FROM sales s JOIN f ON s.category = f.g
+WHERE {_FINITE.replace('sales', 's.sales')} AND (CAST(s.sales AS DOUBLE) < f.lower_fence OR CAST(s.sales AS DOUBLE) > f.upper_fence)""",
+    _BOX_CTE))
+def q_box_outliers(spark, d):
+    """Rows drawn as box-plot outliers, per category."""
+    return DI.box_outliers(sales_view(spark, d), "sales", "category", key=ROW_KEY)
+
+
+@register("box_stats_overall", None)
+def q_box_stats_overall(spark, d):
+    """One overall box of sales (the no-group fallback)."""
+    return DI.box_stats(sales_view(spark, d), "sales", None, key=ROW_KEY)
+
+
+_QQ_M = ("CASE WHEN n = 1 THEN 0.5 WHEN rk = 1 THEN 1.0 - pow(0.5, 1.0 / n) WHEN rk = n THEN pow(0.5, 1.0 / n) "
+         "ELSE (rk - 0.3175) / (n + 0.365) END")
+_QQ_CTE = f"""r AS (SELECT {KEY}, CAST(sales AS DOUBLE) AS osr,
+                     row_number() OVER (ORDER BY CAST(sales AS DOUBLE), {KEY}) AS rk,
+                     CAST(count(*) OVER () AS DOUBLE) AS n FROM sales WHERE {_FINITE}),
+m AS (SELECT *, {_QQ_M} AS m FROM r),
+qq AS (SELECT {KEY}, rk AS rank, round({probit_sql('m')}, 9) AS osm, osr FROM m)"""
+
+
+@register("qq_normal", with_sales("SELECT * FROM qq", _QQ_CTE))
+def q_qq_normal(spark, d):
+    """Normal Q-Q points of sales (every row)."""
+    return DI.qq_normal(sales_view(spark, d), "sales", ROW_KEY)
+
+
+@register("qq_fit", with_sales(
+    "SELECT round(regr_slope(osr, osm), 4) AS slope, round(regr_intercept(osr, osm), 4) AS intercept, "
+    "round(corr(osr, osm), 9) AS r FROM qq", _QQ_CTE))
+def q_qq_fit(spark, d):
+    """Reference line (slope, intercept) and correlation of the Q-Q points."""
+    f = DI.qq_fit(DI.qq_normal(sales_view(spark, d), "sales", ROW_KEY))
+    return f.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"),
+                    F.round("r", 9).alias("r"))
+
+
+@register("kde", with_sales("""
+SELECT g.point, st.lo + g.point * st.step AS x,
+       round(sum(exp(-0.5 * ((st.lo + g.point * st.step - v.x) / st.h) * ((st.lo + g.point * st.step - v.x) / st.h)))
+             * (1.0 / (st.n * st.h * sqrt(2 * pi()))), 12) AS density
+FROM st, (SELECT CAST(range AS INTEGER) AS point FROM range(500)) g, v
+GROUP BY g.point, st.lo, st.step, st.n, st.h""", f"""v AS (SELECT CAST(sales AS DOUBLE) AS x FROM sales WHERE {_FINITE}),
+st AS (SELECT count(*) AS n, min(x) AS lo, (max(x) - min(x)) / 500 AS step,
+              stddev_samp(x) * pow(count(*), -0.2) AS h FROM v)"""))
+def q_kde(spark, d):
+    """Gaussian kernel density of sales on a 500-point grid."""
+    return DI.kde(sales_view(spark, d), "sales", 500)
