@@ -936,3 +936,92 @@ def q_feature_names(spark, d):
     fm = FE.fit_features(sales_view(spark, d), FE.CAT_COLS, FE.REG_NUM_COLS)
     rows = list(enumerate(fm.names))  # model metadata: one name per vector slot
     return spark.createDataFrame(rows, "idx int, name string")
+
+
+# --- clustering ----------------------------------------------------------------------------
+
+from ordertide.operators import cluster as CL  # noqa: E402
+
+_GF_SQL = ("SELECT region, category, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS sales, "
+           "CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS profit, "
+           "CAST(SUM(CAST(discount AS DECIMAL(4,2))) AS DOUBLE) / COUNT(discount) AS discount, "
+           "COALESCE(SUM(quantity), 0.0) AS quantity, COUNT(DISTINCT order_id) AS order_count, "
+           "COUNT(DISTINCT customer_id) AS customer_count FROM sales "
+           "WHERE region IS NOT NULL AND category IS NOT NULL GROUP BY region, category")
+
+
+@register("standardize_groups", with_sales(
+    "SELECT region || ' | ' || category AS \"group\", "
+    + ", ".join(f"round(CASE WHEN stddev_pop({f}) OVER () > 0 THEN ({f} - avg({f}) OVER ()) / "
+                f"stddev_pop({f}) OVER () ELSE 0.0 END, 9) AS z_{f}" for f in CL.FEATURES)
+    + " FROM g", f"g AS ({_GF_SQL})"))
+def q_standardize_groups(spark, d):
+    """Region x category groups with every feature z-scored (population std)."""
+    g = CL.standardize_groups(G.group_features(sales_view(spark, d), CL.KEYS))
+    return g.select(CL.group_label(*CL.KEYS).alias("group"),
+                    *[F.round(f"z_{f}", 9).alias(f"z_{f}") for f in CL.FEATURES])
+
+
+@register("choose_k", with_sales(
+    "SELECT n AS groups, CASE WHEN least(greatest(n // 3, 3), 5, n - 1) >= 2 "
+    "THEN least(greatest(n // 3, 3), 5, n - 1) END AS k FROM (SELECT count(*) AS n FROM g)", f"g AS ({_GF_SQL})"))
+def q_choose_k(spark, d):
+    """Number of groups and the cluster count chosen for them."""
+    n = G.group_features(sales_view(spark, d), CL.KEYS).count()
+    return spark.createDataFrame([(n, CL.choose_k(n))], "groups long, k int")
+
+
+def _clusters(spark, d):
+    k = (id(spark), d, "kmeans")
+    if k not in _FITS:
+        _FITS[k] = CL.kmeans_clusters(sales_view(spark, d))
+    return _FITS[k]
+
+
+def _curves(spark, d):
+    k = (id(spark), d, "curves")
+    if k not in _FITS:
+        _FITS[k] = CL.elbow_and_silhouette(sales_view(spark, d))
+    return _FITS[k]
+
+
+@register("kmeans", None)
+def q_kmeans(spark, d):
+    """Cluster of each region x category group (best of 10 restarts)."""
+    return _clusters(spark, d).select("group", *CL.KEYS, "cluster")
+
+
+@register("cluster_scatter", None)
+def q_cluster_scatter(spark, d):
+    """Sales against profit per group, coloured by cluster."""
+    return CL.cluster_scatter(_clusters(spark, d))
+
+
+@register("centroids", None)
+def q_centroids(spark, d):
+    """Mean raw features per cluster."""
+    return CL.centroids(_clusters(spark, d))
+
+
+@register("cluster_heatmap", None)
+def q_cluster_heatmap(spark, d):
+    """Centroid z-scores across clusters."""
+    return CL.cluster_heatmap(_clusters(spark, d))
+
+
+@register("elbow_curve", None)
+def q_elbow_curve(spark, d):
+    """Inertia for k = 2..min(10, groups - 1)."""
+    return _curves(spark, d)[0]
+
+
+@register("silhouette_curve", None)
+def q_silhouette_curve(spark, d):
+    """Silhouette (squared Euclidean) for the same k's."""
+    return _curves(spark, d)[1]
+
+
+@register("cluster_hierarchy", None)
+def q_cluster_hierarchy(spark, d):
+    """Divisive hierarchy: cluster of each group at k = 2..10."""
+    return CL.cluster_hierarchy(sales_view(spark, d))
