@@ -36,6 +36,14 @@ def with_parsed_dates(df: DataFrame, mode: str = "strict",
     return out
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns becomes NULL, so sums, means and distinct
+    counts skip it as pandas does (Spark would propagate NaN)."""
+    fixes = {f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name))
+             for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(fixes) if fixes else df
+
+
 def read_sales_file(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
                     mode: str = "strict", **options) -> DataFrame:
     """Read order lines from CSV/JSON/parquet with a declared schema."""
@@ -44,4 +52,4 @@ def read_sales_file(spark: SparkSession, path: str, schema: T.StructType, fmt: s
         reader = reader.option("header", "true")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return with_parsed_dates(reader.format(fmt).load(path), mode)
+    return with_parsed_dates(nan_to_null(reader.format(fmt).load(path)), mode)
