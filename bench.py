@@ -36,7 +36,7 @@ def panels(s):
     return {
         "kpi_totals": lambda: K.kpi_totals(s),
         "ytd_metrics_anchored": lambda: K.ytd_metrics_anchored(s, None),
-        "trend_by_index": lambda: SE.trend_by_index(G.sales_by_month(flt())),
+        "trend_by_index": lambda: SE.trend_by_index(G.sales_by(flt(), "order_month")),
         "sales_by_region": lambda: G.sales_by_region(s),
         "top_n_subcategories": lambda: G.top_n_subcategories(s),
         "top_customers": lambda: G.top_customers(s),

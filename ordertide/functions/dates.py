@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def order_month(c: Column) -> Column:
-    """First instant of the month (keeps timestamp_ntz)."""
-    return F.date_trunc("MONTH", c)
+    """First instant of the month, as timestamp_ntz (``date_trunc`` itself
+    returns a session-time-zone timestamp)."""
+    return F.date_trunc("MONTH", c).cast("timestamp_ntz")
 
 
 def year(c: Column) -> Column:
@@ -105,4 +106,4 @@ def clamp(value: dt.datetime, lo: dt.datetime, hi: dt.datetime) -> dt.datetime:
 
 def clamp_date(c: Column, lo: Column, hi: Column) -> Column:
     """Column form of ``clamp``."""
-    return F.least(F.greatest(F.date_trunc("DAY", c), lo), hi)
+    return F.least(F.greatest(F.date_trunc("DAY", c).cast("timestamp_ntz"), lo), hi)

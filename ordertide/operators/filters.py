@@ -34,24 +34,42 @@ def filter_in_dims(df: DataFrame, regions: Iterable[str] | None = None,
 
 # --- absolute ranges --------------------------------------------------------
 
+PARTITION_YEAR = "order_year"
+
+
+def _year_prune(df: DataFrame, lo: dt.datetime, hi: dt.datetime, col: str):
+    """On a fact staged with ``partitionBy('order_year')``, the redundant
+    year bound lets Spark skip whole directories (Catalyst does not derive
+    it from a timestamp range by itself)."""
+    if col == "order_date" and PARTITION_YEAR in df.columns:
+        return (F.col(PARTITION_YEAR) >= F.lit(lo.year)) & (F.col(PARTITION_YEAR) <= F.lit(hi.year))
+    return None
+
+
+def _where(df: DataFrame, pred, prune):
+    return df.where(pred if prune is None else pred & prune)
+
+
 def filter_date_range(df: DataFrame, start, end, col: str = "order_date") -> DataFrame:
     """Inclusive on both ends by calendar date (time of day ignored), written
     as the half-open range [start 00:00, end+1 day 00:00) so it pushes down."""
     lo = D.midnight(start)
     hi = D.midnight(end) + dt.timedelta(days=1)
-    return df.where((F.col(col) >= D.ts_literal(lo)) & (F.col(col) < D.ts_literal(hi)))
+    pred = (F.col(col) >= D.ts_literal(lo)) & (F.col(col) < D.ts_literal(hi))
+    return _where(df, pred, _year_prune(df, lo, D.midnight(end), col))
 
 
 def filter_ts_between(df: DataFrame, start, end, col: str = "order_date") -> DataFrame:
     """Inclusive on both ends at timestamp precision."""
-    return df.where((F.col(col) >= D.ts_literal(D.to_datetime(start)))
-                    & (F.col(col) <= D.ts_literal(D.to_datetime(end))))
+    lo, hi = D.to_datetime(start), D.to_datetime(end)
+    pred = (F.col(col) >= D.ts_literal(lo)) & (F.col(col) <= D.ts_literal(hi))
+    return _where(df, pred, _year_prune(df, lo, hi, col))
 
 
 def date_bounds(df: DataFrame, col: str = "order_date") -> DataFrame:
     """One row: min_date, max_date and the anchor (midnight of max)."""
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"),
-                  F.date_trunc("DAY", F.max(col)).alias("anchor_date"))
+                  F.date_trunc("DAY", F.max(col)).cast("timestamp_ntz").alias("anchor_date"))
 
 
 def bounds(df: DataFrame, col: str = "order_date") -> tuple:
@@ -145,8 +163,8 @@ def filter_calendar(df: DataFrame, year=None, quarter=None, month=None,
     c = F.col(col)
     if not _off(year):
         y = int(year)
-        df = df.where((c >= D.ts_literal(dt.datetime(y, 1, 1)))
-                      & (c < D.ts_literal(dt.datetime(y + 1, 1, 1))))
+        pred = (c >= D.ts_literal(dt.datetime(y, 1, 1))) & (c < D.ts_literal(dt.datetime(y + 1, 1, 1)))
+        df = _where(df, pred, _year_prune(df, dt.datetime(y, 1, 1), dt.datetime(y, 12, 31), col))
     if not _off(quarter):
         df = df.where(D.quarter_label(c) == F.lit(str(quarter)))
     if not _off(month):
@@ -164,12 +182,18 @@ def time_predicate(df: DataFrame, year=None, quarter=None, month=None, preset=No
         if max_ts is None:
             max_ts = bounds(df, col)[1]
         if max_ts is not None:
-            preds.append((c >= D.ts_literal(trailing_start(preset, max_ts)))
-                         & (c <= D.ts_literal(max_ts)))
+            start = trailing_start(preset, max_ts)
+            preds.append((c >= D.ts_literal(start)) & (c <= D.ts_literal(max_ts)))
+            prune = _year_prune(df, start, max_ts, col)
+            if prune is not None:
+                preds.append(prune)
     if not _off(year):
         y = int(year)
         preds.append((c >= D.ts_literal(dt.datetime(y, 1, 1)))
                      & (c < D.ts_literal(dt.datetime(y + 1, 1, 1))))
+        prune = _year_prune(df, dt.datetime(y, 1, 1), dt.datetime(y, 12, 31), col)
+        if prune is not None:
+            preds.append(prune)
     if not _off(quarter):
         preds.append(D.quarter_label(c) == F.lit(str(quarter)))
     if not _off(month):

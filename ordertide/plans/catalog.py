@@ -528,7 +528,7 @@ _FLAG_WHERE = (f"CAST(order_date AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{R
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Date range + regions -> sales by month -> index trend line."""
     s = FL.filter_in_dims(FL.filter_date_range(sales_view(spark, d), *RANGE), regions=REGIONS)
-    return SE.trend_by_index(G.sales_by_month(s))
+    return SE.trend_by_index(G.sales_by(s, "order_month"))
 
 
 @register("trend_by_index", with_sales(
@@ -543,9 +543,13 @@ def q_trend_by_index(spark, d):
     return flagship(spark, d)
 
 
-_MONTHLY_SQL = ("SELECT CAST(strptime(ym || '-01', '%Y-%m-%d') AS TIMESTAMP) AS ds, y FROM ("
-                "SELECT strftime(order_date, '%Y-%m') AS ym, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS y "
-                "FROM sales WHERE order_date IS NOT NULL GROUP BY ym)")
+def _monthly_sql(where: str = "TRUE") -> str:
+    return ("SELECT CAST(strptime(ym || '-01', '%Y-%m-%d') AS TIMESTAMP) AS ds, y FROM ("
+            "SELECT strftime(order_date, '%Y-%m') AS ym, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS y "
+            f"FROM sales WHERE order_date IS NOT NULL AND {where} GROUP BY ym)")
+
+
+_MONTHLY_SQL = _monthly_sql()
 
 
 @register("trend_by_date", with_sales(
@@ -578,7 +582,7 @@ class _Sql:
     def __neg__(self): return _Sql(f"(-{self.t})")
 
 
-def _forecast_sql(horizon=6, alpha=5.0, min_months=8) -> str:
+def _forecast_sql(horizon=6, alpha=5.0, min_months=8, where: str = "TRUE") -> str:
     S = _Sql
     n, sy = S("n"), S("sy")
 
@@ -598,7 +602,7 @@ def _forecast_sql(horizon=6, alpha=5.0, min_months=8) -> str:
            + 2 * S("b0") * (b[0] * S("s0") + b[1] * S("s1") + b[2] * S("s2"))
            + sum((b[i] * b[j] * sxx(i, j) for i in range(3) for j in range(3)), S(0.0)))
     w = SE.OMEGA
-    hist = f"""hist AS (SELECT ds, y, CAST(row_number() OVER (ORDER BY ds) - 1 AS DOUBLE) AS t FROM ({_MONTHLY_SQL})),
+    hist = f"""hist AS (SELECT ds, y, CAST(row_number() OVER (ORDER BY ds) - 1 AS DOUBLE) AS t FROM ({_monthly_sql(where)})),
 hx AS (SELECT ds, y, t AS x0, sin({w!r} * t) AS x1, cos({w!r} * t) AS x2 FROM hist),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, sum(y * y) AS syy, max(ds) AS last_ds,
               sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2, sum(x0 * y) AS s0y, sum(x1 * y) AS s1y,
@@ -624,7 +628,9 @@ def q_forecast_monthly(spark, d):
     return SE.forecast_monthly(sales_view(spark, d))
 
 
-@register("forecast_monthly_filtered", None)
+@register("forecast_monthly_filtered", _forecast_sql(
+    where="order_date >= (SELECT max(order_date) FROM sales) - INTERVAL 3 YEAR "
+          "AND order_date <= (SELECT max(order_date) FROM sales) AND region IN ('ASIA')"))
 def q_forecast_monthly_filtered(spark, d):
     """Forecast on a filtered view (LAST_3Y, ASIA) -- exercises gaps closed
     up by the observed-month index."""
@@ -710,7 +716,21 @@ def q_box_outliers(spark, d):
     return DI.box_outliers(sales_view(spark, d), "sales", "category", key=ROW_KEY)
 
 
-@register("box_stats_overall", None)
+_BOX_ALL_CTE = f"""v AS (SELECT 1 AS g, CAST(sales AS DOUBLE) AS x,
+                     row_number() OVER (ORDER BY CAST(sales AS DOUBLE), {KEY}) - 1 AS pos,
+                     count(*) OVER () AS n FROM sales WHERE {_FINITE}),
+q AS (SELECT g, max(n) AS n, {_interp(_hazen(0.25))} AS q1, {_interp(_hazen(0.5))} AS median,
+             {_interp(_hazen(0.75))} AS q3 FROM v GROUP BY g, n),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)"""
+
+
+@register("box_stats_overall", with_sales("""
+SELECT f.n, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence,
+       min(CASE WHEN v.x >= f.lower_fence AND v.x <= f.upper_fence THEN v.x END) AS whisker_low,
+       max(CASE WHEN v.x >= f.lower_fence AND v.x <= f.upper_fence THEN v.x END) AS whisker_high,
+       count(CASE WHEN NOT (v.x >= f.lower_fence AND v.x <= f.upper_fence) THEN 1 END) AS outliers
+FROM f JOIN v ON f.g = v.g
+GROUP BY f.n, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence""", _BOX_ALL_CTE))
 def q_box_stats_overall(spark, d):
     """One overall box of sales (the no-group fallback)."""
     return DI.box_stats(sales_view(spark, d), "sales", None, key=ROW_KEY)
@@ -1025,3 +1045,64 @@ def q_silhouette_curve(spark, d):
 def q_cluster_hierarchy(spark, d):
     """Divisive hierarchy: cluster of each group at k = 2..10."""
     return CL.cluster_hierarchy(sales_view(spark, d))
+
+
+# --- formatted tables and cards ---------------------------------------------------------------
+
+@register("kpi_cards_anchored_text", _ytd_anchored_sql("TRUE", "TRUE").replace(
+    "SELECT total_sales, customer_count, order_count, ytd_sales, lytd_sales, "
+    "CASE WHEN lytd_sales <> 0 THEN (ytd_sales - lytd_sales) / lytd_sales END AS yoy_pct, anchor_date ",
+    "SELECT '$' || format('{:,.2f}', total_sales) AS sales_text, format('{:,}', customer_count) AS customers_text, "
+    "format('{:,}', order_count) AS orders_text, '$' || format('{:,.2f}', ytd_sales) AS ytd_text, "
+    "'$' || format('{:,.2f}', lytd_sales) AS lytd_text, "
+    "format('{:,.2f}', COALESCE(CASE WHEN lytd_sales <> 0 THEN (ytd_sales - lytd_sales) / lytd_sales END, 0) * 100)"
+    " || '%' AS yoy_text ", 1))
+def q_kpi_cards_anchored_text(spark, d):
+    """Six-tab KPI card texts ($1,234.00 / 1,234 / 12.34%) in the default state."""
+    k = K.ytd_metrics_anchored(sales_view(spark, d), None)
+    return k.select(fmt.currency2(F.col("total_sales")).alias("sales_text"),
+                    fmt.safe_int(F.col("customer_count")).alias("customers_text"),
+                    fmt.safe_int(F.col("order_count")).alias("orders_text"),
+                    fmt.currency2(F.col("ytd_sales")).alias("ytd_text"),
+                    fmt.currency2(F.col("lytd_sales")).alias("lytd_text"),
+                    fmt.safe_pct(F.col("yoy_pct")).alias("yoy_text"))
+
+
+@register("ytd_cards_text", _ytd_clamped_sql("2001-08-01 00:00:00", "TRUE").replace(
+    "SELECT ytd_sales, lytd_sales, CASE WHEN lytd_sales <> 0 THEN (ytd_sales - lytd_sales) / lytd_sales END AS yoy_pct,"
+    "\n       e AS through_date",
+    "SELECT '$' || format('{:,.0f}', ytd_sales) AS ytd_text, '$' || format('{:,.0f}', lytd_sales) AS lytd_text, "
+    "COALESCE(format('{:,.1f}', (ytd_sales - lytd_sales) / NULLIF(lytd_sales, 0) * 100) || '%', '—') AS yoy_text", 1))
+def q_ytd_cards_text(spark, d):
+    """One-page YTD / LYTD / YoY card texts through 2001-08-01 ('—' when LYTD is 0)."""
+    s = sales_view(spark, d)
+    y = K.ytd_metrics_clamped(s, "2001-08-01", FL.bounds(s))
+    return y.select(fmt.currency0(F.col("ytd_sales")).alias("ytd_text"),
+                    fmt.currency0(F.col("lytd_sales")).alias("lytd_text"),
+                    fmt.pct1_or_dash(F.col("yoy_pct")).alias("yoy_text"))
+
+
+@register("top_customers_table", with_sales(
+    "SELECT customer_name, '$' || format('{:,.0f}', sales) AS sales, '$' || format('{:,.0f}', profit) AS profit, "
+    "CAST(orders AS BIGINT) AS orders FROM (SELECT customer_name, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS sales, "
+    "CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS profit, COUNT(DISTINCT order_id) AS orders "
+    "FROM sales WHERE customer_name IS NOT NULL GROUP BY customer_name ORDER BY sales DESC, customer_name LIMIT 10)"))
+def q_top_customers_table(spark, d):
+    """Top-10 customers table as displayed ($ texts, integer orders)."""
+    t = G.top_customers(sales_view(spark, d))
+    return t.select("customer_name", fmt.currency0(F.col("sales")).alias("sales"),
+                    fmt.currency0(F.col("profit")).alias("profit"), fmt.int_cast(F.col("orders")).alias("orders"))
+
+
+@register("top_products_table", with_sales(
+    "SELECT product_name, '$' || format('{:,.0f}', sales) AS sales, '$' || format('{:,.0f}', profit) AS profit, "
+    "CAST(quantity AS BIGINT) AS quantity, CAST(COALESCE(orders, 0) AS BIGINT) AS orders FROM ("
+    "SELECT m.product_name, m.sales, m.profit, m.quantity, o.orders FROM m LEFT JOIN o "
+    "ON m.product_name = o.product_name ORDER BY m.sales DESC, m.product_name LIMIT 10)",
+    f"m AS ({_PRODUCT_MEASURES_SQL}), o AS ({_ORDERS_PER_PRODUCT_SQL})"))
+def q_top_products_table(spark, d):
+    """Top-10 products pivot as displayed ($ texts, integer quantity and orders)."""
+    t = G.top_products_pivot(sales_view(spark, d))
+    return t.select("product_name", fmt.currency0(F.col("sales")).alias("sales"),
+                    fmt.currency0(F.col("profit")).alias("profit"), fmt.int_cast(F.col("quantity")).alias("quantity"),
+                    fmt.int_cast(F.col("orders")).alias("orders"))
