@@ -20,11 +20,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from ordertide.operators import cluster as CL  # noqa: E402
 from ordertide.operators import dist as DI  # noqa: E402
+from ordertide.operators import evalcurves as EC  # noqa: E402
 from ordertide.operators import filters as FL  # noqa: E402
 from ordertide.operators import groups as G  # noqa: E402
 from ordertide.operators import kpis as K  # noqa: E402
 from ordertide.operators import series as SE  # noqa: E402
+from ordertide.operators import supervised as SU  # noqa: E402
 from ordertide.plans import catalog  # noqa: E402
 from ordertide.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from ordertide.sources.sales import ROW_KEY, materialize_sales_view, sales_view  # noqa: E402
@@ -49,9 +52,24 @@ def panels(s):
         "box_stats": lambda: DI.box_stats(s, "sales", "category", key=ROW_KEY),
         "qq_normal": lambda: DI.qq_normal(s, "sales", ROW_KEY),
         "kde": lambda: DI.kde(s, "sales", 500),
+        "ridge_regression": lambda: _ridge(s),
+        "classifier_roc": lambda: _classifier(s),
+        "kmeans": lambda: CL.kmeans_clusters(s),
+        "elbow_silhouette": lambda: CL.elbow_and_silhouette(s)[0],
     }
 
 
+def _ridge(s):
+    r = SU.fit_regression(s, "ridge")
+    run(r["predictions"])
+    return r["metrics"]
+
+
+def _classifier(s):
+    c = SU.fit_classifier(s)
+    return EC.roc_auc(c["predictions"])
+
+
 def run(df):
     """Force full evaluation of every row without collecting them."""
     df.write.format("noop").mode("overwrite").save()

@@ -36,26 +36,36 @@ def _position(p: float, n, method: str):
 def exact_quantiles(df: DataFrame, value: str, probs, group_cols=(), key=(), method: str = "linear",
                     names=None) -> DataFrame:
     """One row per group with the exact interpolated quantiles of ``value``.
-    ``key`` columns make the order total (ties do not change the values)."""
-    group_cols, key = list(group_cols), list(key)
+
+    Rows are first collapsed to (group, distinct value, weight) with a
+    map-side-combined aggregate -- exact, and a large saving on columns with
+    repeated values -- then distinct values are ranked in order with
+    cumulative weights (``global_rank``), and the two order statistics that
+    bracket each quantile position are the values whose cumulative-weight
+    interval contains them. ``key`` is accepted for API symmetry; equal
+    values need no tie-break."""
+    group_cols = list(group_cols)
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
-    base = df.select(*group_cols, *key, value).where(F.col(value).isNotNull())
-    ranked = global_rank(base, [value, *key], group_cols=group_cols, size_col="_n")
-    n = F.col("_n").cast("double")
-    pos0 = F.col("rank") - 1
-    lo_hi = []
-    want = None
+    base = df.select(*group_cols, value).where(F.col(value).isNotNull())
+    w = base.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("w"))
+    ranked = global_rank(w, [value], group_cols=group_cols, sum_cols=["w"], total_sums=True)
+    n = F.col("total_w")
+    first = F.col("cum_w") - F.col("w")      # 0-based position of the value's first copy
+    last = F.col("cum_w") - 1                # 0-based position of its last copy
+    want, spans = None, []
     for p in probs:
-        h = _position(p, n, "linear" if method == "linear" else method)
+        h = _position(p, n, method)
         lo, hi = F.floor(h), F.ceil(h)
-        cond = (pos0 == lo) | (pos0 == hi)
+        has_lo = (first <= lo) & (lo <= last)
+        has_hi = (first <= hi) & (hi <= last)
+        cond = has_lo | has_hi
         want = cond if want is None else want | cond
-        lo_hi.append((h, lo, hi))
+        spans.append((h, lo, has_lo, has_hi))
     picked = ranked.where(want)
-    aggs = [F.max("_n").alias("n")]
-    for i, (h, lo, hi) in enumerate(lo_hi):
-        aggs += [F.max(F.when(pos0 == lo, F.col(value))).alias(f"_lo{i}"),
-                 F.max(F.when(pos0 == hi, F.col(value))).alias(f"_hi{i}"),
+    aggs = [F.max("total_w").cast("long").alias("n")]
+    for i, (h, lo, has_lo, has_hi) in enumerate(spans):
+        aggs += [F.max(F.when(has_lo, F.col(value))).alias(f"_lo{i}"),
+                 F.max(F.when(has_hi, F.col(value))).alias(f"_hi{i}"),
                  F.max(h - lo).alias(f"_fr{i}")]
     g = picked.groupBy(*group_cols).agg(*aggs)
     outs = []

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +100,15 @@ class FeatureModel:
             fills[c] = F.coalesce(v, F.lit(self.medians.get(c)).cast("double"))
         return df.withColumns(fills)
 
+    def index(self, df: DataFrame) -> DataFrame:
+        for m in self.indexer:
+            df = m.transform(df)
+        return df
+
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         x = self.impute(df)
         if self.cat_cols:
-            x = self.encoder.transform(self.indexer.transform(x))
+            x = self.encoder.transform(self.index(x))
         x = x.withColumns({f"{c}_s": F.col(c) / F.lit(self.scales[c]) for c in self.num_cols})
         parts = [f"{c}_oh" for c in self.cat_cols] + [f"{c}_s" for c in self.num_cols]
         return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(x)
@@ -113,10 +120,30 @@ class FeatureModel:
 
 def fit_features(train: DataFrame, cat_cols, num_cols) -> FeatureModel:
     """Fit imputers, encoders and scales on ``train``; columns that are
-    absent are skipped (schema-adaptive, as the dashboards are)."""
+    absent are skipped (schema-adaptive, as the dashboards are).
+
+    One aggregation counts every (column, level) pair into a small cached
+    table. Modes come from it with a per-column min over (-count, level),
+    and each column's alphabetical ``StringIndexer`` is fitted on that small
+    table instead of another pass over the training rows. (Imputation only
+    fills NULLs with an existing level, so the level set is unchanged.)"""
     cat_cols = [c for c in cat_cols if c in train.columns]
     num_cols = [c for c in num_cols if c in train.columns]
-    modes = column_modes(train, cat_cols)
+    modes: dict[str, str] = {}
+    indexers = []
+    if cat_cols:
+        counts = _stack(train, cat_cols, "string").groupBy("col", "value").count().cache()
+        best = counts.groupBy("col").agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("value"))).alias("b"))
+        modes = {r["col"]: r["b"]["value"] for r in best.collect()}  # one row per column
+
+        def fit_one(c):
+            m = StringIndexer(inputCol="value", outputCol=f"{c}_ix", handleInvalid="keep",
+                              stringOrderType="alphabetAsc").fit(counts.where(F.col("col") == c))
+            return m.setInputCol(c)
+
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            indexers = list(pool.map(fit_one, cat_cols))
+        counts.unpersist()
     medians = column_medians(train, num_cols)
     fm = FeatureModel(cat_cols, num_cols, modes, medians, {})
     imputed = fm.impute(train)
@@ -124,13 +151,12 @@ def fit_features(train: DataFrame, cat_cols, num_cols) -> FeatureModel:
     fm.scales = {c: (s if s and s > 0 else 1.0) for c, s in std.items()}
     names = []
     if cat_cols:
-        fm.indexer = StringIndexer(inputCols=cat_cols, outputCols=[f"{c}_ix" for c in cat_cols],
-                                   handleInvalid="keep", stringOrderType="alphabetAsc").fit(imputed)
+        fm.indexer = indexers
         fm.encoder = OneHotEncoder(inputCols=[f"{c}_ix" for c in cat_cols],
                                    outputCols=[f"{c}_oh" for c in cat_cols],
-                                   dropLast=True).fit(fm.indexer.transform(imputed))
-        for c, labels in zip(cat_cols, fm.indexer.labelsArray):
-            names += [f"{c}_{lv}" for lv in labels]
+                                   dropLast=True).fit(fm.index(imputed))
+        for c, m in zip(cat_cols, indexers):
+            names += [f"{c}_{x}" for x in m.labels]
     names += list(num_cols)
     fm.names = names
     return fm

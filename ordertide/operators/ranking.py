@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from ordertide.session import reliable_checkpoint
 
-_BASE = 1 << 33  # monotonically_increasing_id puts the partition id above bit 33
+_BASE = 1 << 33
+LOCAL_SUMS = "pandas"  # monotonically_increasing_id puts the partition id above bit 33
 
 
 def _order_cols(order) -> list[Column]:
@@ -61,11 +62,11 @@ def _local_cumsum(sum_cols: list[str]):
 
 def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions: int | None = None,
                 rank_col: str = "rank", size_col: str | None = None,
-                checkpoint: bool = True) -> DataFrame:
+                total_sums: bool = False, checkpoint: bool = True) -> DataFrame:
     """Add ``rank_col`` = 1-based row position in the total order ``order``
     (restarting per ``group_cols``) and ``cum_<c>`` = inclusive running sum
     of each ``sum_cols`` column in that order; optionally ``size_col`` = the
-    group's row count. ``order`` must be a total order (end it with a unique
+    group's row count and (``total_sums``) ``total_<c>`` = the group's sum. ``order`` must be a total order (end it with a unique
     key) for ranks to be reproducible."""
     spark = df.sparkSession
     group_cols, sum_cols = list(group_cols), list(sum_cols)
@@ -74,9 +75,13 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
     r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_li", F.monotonically_increasing_id() - F.col("_pid").cast("long") * F.lit(_BASE)))
-    if sum_cols:
+    if sum_cols and LOCAL_SUMS == "pandas":
         schema = T.StructType(r.schema.fields + [T.StructField(f"_lc_{c}", T.DoubleType()) for c in sum_cols])
         r = r.mapInPandas(_local_cumsum(sum_cols), schema)
+    elif sum_cols:
+        run = Window.partitionBy("_pid").orderBy("_li").rowsBetween(Window.unboundedPreceding, 0)
+        r = r.withColumns({f"_lc_{c}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(run)
+                           for c in sum_cols})
     if checkpoint:
         r = reliable_checkpoint(r)
 
@@ -92,8 +97,11 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
     offs = [F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
     for c in sum_cols:
         offs.append(F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0.0)).alias(f"_offs_{c}"))
+    whole = Window.partitionBy(*group_cols)
     if size_col:
-        offs.append(F.sum("_cnt").over(Window.partitionBy(*group_cols)).alias(size_col))
+        offs.append(F.sum("_cnt").over(whole).alias(size_col))
+    if total_sums:
+        offs += [F.sum(f"_tot_{c}").over(whole).alias(f"total_{c}") for c in sum_cols]
     st = st.select("_pid", *group_cols, "_first", *[f"_base_{c}" for c in sum_cols], *offs)
     if not group_cols:
         st = F.broadcast(st)  # one row per range partition: bounded by N
@@ -104,4 +112,6 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
         extra.append((F.col(f"_offs_{c}") + F.col(f"_lc_{c}") - F.col(f"_base_{c}")).alias(f"cum_{c}"))
     if size_col:
         extra.append(F.col(size_col))
+    if total_sums:
+        extra += [F.col(f"total_{c}") for c in sum_cols]
     return out.select(*cols, *extra)

@@ -101,10 +101,11 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2,
     feats = [c for c in [*CAT_COLS, *REG_NUM_COLS] if c in data.columns]
     data = data.select(*key_cols, *[c for c in feats if c not in key_cols],
                        F.col(label).cast("double").alias("label"))
-    n = data.count()
+    # the split table is written once; the row count and every later pass read it
+    split = reliable_checkpoint(split_random(data, test_frac, key_cols, seed))
+    n = split.count()
     if n < min_rows:
         return {"error": f"Not enough rows to train reliably (found {n}). Broaden filters."}
-    split = reliable_checkpoint(split_random(data, test_frac, key_cols, seed))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     fm = fit_features(train, CAT_COLS, REG_NUM_COLS)
     tr = fm.transform(train).select(*key_cols, "features", "label")
@@ -117,7 +118,7 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2,
                            (F.stddev_pop("label") if solver == "normal" else F.stddev_samp("label")).alias("sd")).first()
             reg = 1.0 * (st["sd"] or 0.0) / st["n"]
         est = LinearRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0,
-                               standardization=False, solver=solver, maxIter=1000, tol=1e-9)
+                               standardization=False, solver=solver, maxIter=1000, tol=1e-6)
     elif model == "forest":
         est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
                                     maxDepth=min(max_depth, 30), minInstancesPerNode=2,
@@ -164,7 +165,9 @@ def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = 0.25, seed:
     (key, label, score, pred) per test row."""
     from ordertide.sources.sales import ROW_KEY
     key_cols = list(key_cols or ROW_KEY)
-    data = finite_label_rows(df, "sales")
+    feats = [c for c in [*CAT_COLS, *CLS_NUM_COLS] if c in df.columns]
+    data = finite_label_rows(df, "sales").select(*key_cols, *[c for c in feats if c not in key_cols], "sales")
+    data = reliable_checkpoint(data)  # the star join runs once for every pass below
     n = data.count()
     if n < min_rows:
         return {"error": f"Need at least {min_rows} rows for classification diagnostics (found {n})."}
@@ -173,7 +176,6 @@ def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = 0.25, seed:
     if len(counts) < 2 or min(counts.values()) < min_per_class:
         return {"error": "Not enough class balance after thresholding to compute classification charts."}
     pos_rate = counts.get(1, 0) / n
-    feats = [c for c in [*CAT_COLS, *CLS_NUM_COLS] if c in labeled.columns]
     base = labeled.select(*key_cols, *[c for c in feats if c not in key_cols], "label")
     split = reliable_checkpoint(split_stratified(base, "label", test_frac, key_cols, seed))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
@@ -184,7 +186,7 @@ def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = 0.25, seed:
     wcol = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
     tr = fm.transform(train).select("features", F.col("label").cast("double").alias("label"), wcol.alias("w"))
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1.0 / n_train,
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8,
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6,
                             fitIntercept=True, family="binomial")
     model = lr.fit(tr)
     pred = (model.transform(fm.transform(test))
