@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ordertide.functions.normal import probit
 from ordertide.functions.numeric import is_finite
+from ordertide.operators.joins import join_small
 from ordertide.operators.ranking import global_rank
 
 
@@ -144,8 +145,8 @@ def box_stats(df: DataFrame, value: str = "sales", group_col: str | None = None,
         lf, uf = q.select("lower_fence").scalar(), q.select("upper_fence").scalar()
         w = v.withColumn("_in", (x >= lf) & (x <= uf)).agg(*whisk)
         return q.withColumns({c: w.select(c).scalar() for c in ("whisker_low", "whisker_high", "outliers")})
-    # q has one row per group; AQE broadcasts it when its runtime size is small
-    j = v.join(q.select(*groups, "lower_fence", "upper_fence"), groups)
+    # q has one row per group: broadcast behind a row-count check
+    j = join_small(v, q.select(*groups, "lower_fence", "upper_fence"), groups)
     j = j.withColumn("_in", (x >= F.col("lower_fence")) & (x <= F.col("upper_fence")))
     return q.join(j.groupBy(*groups).agg(*whisk), groups)
 
@@ -163,7 +164,7 @@ def box_outliers(df: DataFrame, value: str = "sales", group_col: str | None = No
     if not groups:
         lf, uf = f.select("lf").scalar(), f.select("uf").scalar()
         return v.where((F.col(value) < lf) | (F.col(value) > uf))
-    j = v.join(f, groups)
+    j = join_small(v, f, groups)
     return j.where((F.col(value) < F.col("lf")) | (F.col(value) > F.col("uf"))).drop("lf", "uf")
 
 

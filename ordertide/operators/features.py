@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +89,8 @@ class FeatureModel:
     indexer: object = None
     encoder: object = None
     names: list = field(default_factory=list)
+    encoding: str = "onehot"
+    hash_features: int = 1 << 18
 
     def impute(self, df: DataFrame) -> DataFrame:
         fills = {}
@@ -107,21 +109,42 @@ class FeatureModel:
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         x = self.impute(df)
-        if self.cat_cols:
+        parts = []
+        if self.cat_cols and self.encoding == "hash":
+            x = FeatureHasher(inputCols=self.cat_cols, outputCol="_cat_hashed", numFeatures=self.hash_features,
+                              categoricalCols=self.cat_cols).transform(x)
+            parts.append("_cat_hashed")
+        elif self.cat_cols:
             x = self.encoder.transform(self.index(x))
+            parts += [f"{c}_oh" for c in self.cat_cols]
         x = x.withColumns({f"{c}_s": F.col(c) / F.lit(self.scales[c]) for c in self.num_cols})
-        parts = [f"{c}_oh" for c in self.cat_cols] + [f"{c}_s" for c in self.num_cols]
+        parts += [f"{c}_s" for c in self.num_cols]
         return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(x)
 
     @property
     def size(self) -> int:
+        if self.encoding == "hash":
+            return (self.hash_features if self.cat_cols else 0) + len(self.num_cols)
         return len(self.names)
 
+    def name_of(self, i: int) -> str:
+        if self.encoding == "hash":
+            h = self.hash_features if self.cat_cols else 0
+            return f"hash_{i}" if i < h else self.num_cols[i - h]
+        return self.names[i]
 
-def fit_features(train: DataFrame, cat_cols, num_cols) -> FeatureModel:
+
+def fit_features(train: DataFrame, cat_cols, num_cols, encoding: str = "onehot",
+                 hash_features: int = 1 << 18) -> FeatureModel:
     """Fit imputers, encoders and scales on ``train``; columns that are
     absent are skipped (schema-adaptive, as the dashboards are).
 
+    ``encoding='onehot'`` (default, as the dashboards) keeps one slot per
+    seen level; its vocabulary is model state on the driver, which bounds it
+    by driver memory. ``encoding='hash'`` is the scale option for columns
+    with billions of levels: levels are hashed into ``hash_features`` slots
+    (stateless, nothing collected), at the price of rare collisions.
+
     One aggregation counts every (column, level) pair into a small cached
     table. Modes come from it with a per-column min over (-count, level),
     and each column's alphabetical ``StringIndexer`` is fitted on that small
@@ -131,7 +154,11 @@ def fit_features(train: DataFrame, cat_cols, num_cols) -> FeatureModel:
     num_cols = [c for c in num_cols if c in train.columns]
     modes: dict[str, str] = {}
     indexers = []
-    if cat_cols:
+    if cat_cols and encoding == "hash":
+        best = (_stack(train, cat_cols, "string").groupBy("col", "value").count()
+                .groupBy("col").agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("value"))).alias("b")))
+        modes = {r["col"]: r["b"]["value"] for r in best.collect()}  # one row per column
+    elif cat_cols:
         counts = _stack(train, cat_cols, "string").groupBy("col", "value").count().cache()
         best = counts.groupBy("col").agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("value"))).alias("b"))
         modes = {r["col"]: r["b"]["value"] for r in best.collect()}  # one row per column
@@ -145,12 +172,12 @@ def fit_features(train: DataFrame, cat_cols, num_cols) -> FeatureModel:
             indexers = list(pool.map(fit_one, cat_cols))
         counts.unpersist()
     medians = column_medians(train, num_cols)
-    fm = FeatureModel(cat_cols, num_cols, modes, medians, {})
+    fm = FeatureModel(cat_cols, num_cols, modes, medians, {}, encoding=encoding, hash_features=hash_features)
     imputed = fm.impute(train)
     std = column_pop_std(imputed, num_cols)
     fm.scales = {c: (s if s and s > 0 else 1.0) for c, s in std.items()}
     names = []
-    if cat_cols:
+    if cat_cols and encoding == "onehot":
         fm.indexer = indexers
         fm.encoder = OneHotEncoder(inputCols=[f"{c}_ix" for c in cat_cols],
                                    outputCols=[f"{c}_oh" for c in cat_cols],

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordertide.operators.kpis import money_sum
+from ordertide.operators.kpis import distinct_count, money_sum
 
 
 def _nonnull(df: DataFrame, keys) -> DataFrame:
@@ -90,11 +90,11 @@ def product_share(df: DataFrame, n: int = 10) -> DataFrame:
     return top_n_share(top)
 
 
-def top_customers(df: DataFrame, n: int = 10) -> DataFrame:
+def top_customers(df: DataFrame, n: int = 10, distinct: str = "exact") -> DataFrame:
     """Sales, profit and distinct orders per customer *name*, top k by sales."""
     return (_nonnull(df, ["customer_name"]).groupBy("customer_name")
             .agg(money_sum("sales").alias("sales"), money_sum("profit").alias("profit"),
-                 F.count_distinct("order_id").alias("orders"))
+                 distinct_count("order_id", distinct).alias("orders"))
             .orderBy(F.desc("sales"), "customer_name").limit(n))
 
 
@@ -148,7 +148,7 @@ def sales_hierarchy(df: DataFrame, parent: str, child: str) -> DataFrame:
             .select(F.col(parent).alias("parent"), F.col(child).alias("child"), "level", "sales"))
 
 
-def group_features(df: DataFrame, keys=("region", "category")) -> DataFrame:
+def group_features(df: DataFrame, keys=("region", "category"), distinct: str = "exact") -> DataFrame:
     """Per group: sales, profit, mean discount, quantity, distinct orders and
     customers -- each only when its source column exists."""
     cols = set(df.columns)
@@ -162,7 +162,7 @@ def group_features(df: DataFrame, keys=("region", "category")) -> DataFrame:
     if "quantity" in cols:
         aggs.append(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"))
     if "order_id" in cols:
-        aggs.append(F.count_distinct("order_id").alias("order_count"))
+        aggs.append(distinct_count("order_id", distinct).alias("order_count"))
     if "customer_id" in cols:
-        aggs.append(F.count_distinct("customer_id").alias("customer_count"))
+        aggs.append(distinct_count("customer_id", distinct).alias("customer_count"))
     return _nonnull(df, list(keys)).groupBy(*keys).agg(*aggs)

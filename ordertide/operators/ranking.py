@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordertide.operators.joins import join_small
 from ordertide.session import reliable_checkpoint
 
 _BASE = 1 << 33
@@ -104,8 +105,9 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
         offs += [F.sum(f"_tot_{c}").over(whole).alias(f"total_{c}") for c in sum_cols]
     st = st.select("_pid", *group_cols, "_first", *[f"_base_{c}" for c in sum_cols], *offs)
     if not group_cols:
-        st = F.broadcast(st)  # one row per range partition: bounded by N
-    out = r.join(st, ["_pid", *group_cols])
+        out = r.join(F.broadcast(st), ["_pid"])  # one row per range partition: bounded by N
+    else:
+        out = join_small(r, st, ["_pid", *group_cols])  # <= N + #groups rows, size-checked
     cols = [c for c in df.columns]
     extra = [(F.col("_off") + F.col("_li") - F.col("_first") + 1).alias(rank_col)]
     for c in sum_cols:

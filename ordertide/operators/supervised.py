@@ -75,20 +75,20 @@ def regression_metrics(pred: DataFrame, actual: str = "actual", predicted: str =
                     F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
 
-def _top20(spark, names, values, by_abs: bool, kind: str) -> DataFrame:
+def _top20(spark, fm, values, by_abs: bool, kind: str) -> DataFrame:
     """Top-20 (name, value) of a model's coefficient/importance vector. The
     vector is model state on the driver; only its 20 entries become rows."""
     v = np.asarray(values, dtype=float)
-    if len(v) != len(names):
-        raise ValueError(f"{len(v)} model weights for {len(names)} feature names")
+    if len(v) != fm.size:
+        raise ValueError(f"{len(v)} model weights for {fm.size} features")
     order = np.argsort(np.abs(v) if by_abs else v, kind="stable")[::-1][:20]
-    rows = [(i + 1, str(names[j]), float(v[j])) for i, j in enumerate(order)]
+    rows = [(i + 1, fm.name_of(int(j)), float(v[j])) for i, j in enumerate(order)]
     return spark.createDataFrame(rows, "rank int, feature string, value double").withColumn("type", F.lit(kind))
 
 
 def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2, seed: int = 0,
                    key_cols=None, label: str = "sales", num_trees: int = 250, max_depth: int = 30,
-                   min_rows: int = 200) -> dict:
+                   min_rows: int = 200, encoding: str = "onehot") -> dict:
     """Fit sales on the categorical + postal-code features.
 
     model: 'linear' (OLS), 'ridge' (alpha 1) or 'forest' (random forest,
@@ -107,7 +107,7 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2,
     if n < min_rows:
         return {"error": f"Not enough rows to train reliably (found {n}). Broaden filters."}
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    fm = fit_features(train, CAT_COLS, REG_NUM_COLS)
+    fm = fit_features(train, CAT_COLS, REG_NUM_COLS, encoding)
     tr = fm.transform(train).select(*key_cols, "features", "label")
     te = fm.transform(test).select(*key_cols, "features", "label")
     if model in ("linear", "ridge"):
@@ -131,9 +131,9 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2,
             .select(*key_cols, F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
             .withColumn("residual", F.col("actual") - F.col("predicted")))
     if model == "forest":
-        imp = _top20(spark, fm.names, fitted.featureImportances.toArray(), False, "rf")
+        imp = _top20(spark, fm, fitted.featureImportances.toArray(), False, "rf")
     else:
-        imp = _top20(spark, fm.names, fitted.coefficients.toArray(), True, "linear")
+        imp = _top20(spark, fm, fitted.coefficients.toArray(), True, "linear")
     metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).alias("rows"), "*")
     return {"metrics": metrics, "predictions": pred, "importances": imp, "feature_names": fm.names}
 
@@ -155,7 +155,8 @@ def high_value_labels(df: DataFrame, key_cols, cutoff_p: float = 0.75, value: st
 
 
 def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = 0.25, seed: int = 0,
-                   min_rows: int = 40, min_per_class: int = 8, max_iter: int = 1000) -> dict:
+                   min_rows: int = 40, min_per_class: int = 8, max_iter: int = 1000,
+                   encoding: str = "onehot") -> dict:
     """High-value order classifier: label = sales >= its 0.75 quantile;
     balanced-weight L2 logistic regression (C = 1) on the categorical and
     numeric features (note: profit is a feature while sales sets the label,
@@ -182,7 +183,7 @@ def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = 0.25, seed:
     tc = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     n_train = sum(tc.values())
     weights = {k: n_train / (2.0 * v) for k, v in tc.items()}
-    fm = fit_features(train, CAT_COLS, CLS_NUM_COLS)
+    fm = fit_features(train, CAT_COLS, CLS_NUM_COLS, encoding)
     wcol = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
     tr = fm.transform(train).select("features", F.col("label").cast("double").alias("label"), wcol.alias("w"))
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1.0 / n_train,
