@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def order_month(c: Column) -> Column:
-    """First instant of the month, as timestamp_ntz (``date_trunc`` itself
-    returns a session-time-zone timestamp)."""
-    return F.date_trunc("MONTH", c).cast("timestamp_ntz")
+    """First instant of the month, as timestamp_ntz. Computed through DATE
+    values, which are time-zone free (``date_trunc`` works in the session
+    time zone and can land off midnight where DST switches at midnight)."""
+    return F.trunc(F.to_date(c), "month").cast("timestamp_ntz")
+
+
+def day_start(c: Column) -> Column:
+    """Midnight of the day, as timestamp_ntz (time-zone free)."""
+    return F.to_date(c).cast("timestamp_ntz")
 
 
 def year(c: Column) -> Column:
@@ -38,7 +44,7 @@ def year_month(c: Column) -> Column:
 
 def year_month_start(ym: Column) -> Column:
     """'YYYY-MM' text back to the month's first instant; bad text -> NULL."""
-    return F.try_to_timestamp(F.concat(ym, F.lit("-01")), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    return F.try_to_date(F.concat(ym, F.lit("-01")), "yyyy-MM-dd").cast("timestamp_ntz")
 
 
 def day_ordinal(c: Column) -> Column:
@@ -106,4 +112,4 @@ def clamp(value: dt.datetime, lo: dt.datetime, hi: dt.datetime) -> dt.datetime:
 
 def clamp_date(c: Column, lo: Column, hi: Column) -> Column:
     """Column form of ``clamp``."""
-    return F.least(F.greatest(F.date_trunc("DAY", c).cast("timestamp_ntz"), lo), hi)
+    return F.least(F.greatest(day_start(c), lo), hi)

@@ -69,7 +69,7 @@ def filter_ts_between(df: DataFrame, start, end, col: str = "order_date") -> Dat
 def date_bounds(df: DataFrame, col: str = "order_date") -> DataFrame:
     """One row: min_date, max_date and the anchor (midnight of max)."""
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"),
-                  F.date_trunc("DAY", F.max(col)).cast("timestamp_ntz").alias("anchor_date"))
+                  D.day_start(F.max(col)).alias("anchor_date"))
 
 
 def bounds(df: DataFrame, col: str = "order_date") -> tuple:

@@ -21,7 +21,10 @@ def parse_date(c: Column, mode: str = "strict", fmt: str = DATE_FORMAT) -> Colum
     if mode == "strict":
         return F.to_timestamp_ntz(c, pattern)
     if mode == "lenient":
-        return F.try_to_timestamp(c, pattern).cast("timestamp_ntz")
+        # validity from try_to_timestamp; the value itself parsed straight to
+        # timestamp_ntz, so no session-time-zone round trip (CASE WHEN only
+        # evaluates the strict parse on rows that are valid)
+        return F.when(F.try_to_timestamp(c, pattern).isNotNull(), F.to_timestamp_ntz(c, pattern))
     raise ValueError(f"unknown date mode {mode!r}")
 
 

@@ -90,3 +90,21 @@ def test_sinks_roundtrip(spark, tmp_path):
 def test_dropna_subset(spark):
     df = make_sales(spark, [dict(region=None), dict()])
     assert FL.dropna_subset(df, ["region"]).count() == 1
+
+
+def test_calendar_parts_ignore_session_time_zone(spark):
+    """Month starts and lenient parses must not move with the session zone
+    (Sao Paulo switched DST at midnight: 1999-10-03 00:00 did not exist)."""
+    from ordertide.sources.files import parse_date
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        df = spark.createDataFrame([(dt.datetime(1999, 10, 3, 0, 0), "1999-10-03 00:00:00")],
+                                   "t timestamp_ntz, s string")
+        r = df.select(D.order_month(F.col("t")).alias("m"), D.day_ordinal(F.col("t")).alias("o"),
+                      parse_date(F.col("s"), "lenient").alias("p"),
+                      D.year_month_start(F.lit("1999-10")).alias("ym")).first()
+        assert r.m == dt.datetime(1999, 10, 1) and r.p == dt.datetime(1999, 10, 3)
+        assert r.ym == dt.datetime(1999, 10, 1) and r.o == dt.date(1999, 10, 3).toordinal()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
