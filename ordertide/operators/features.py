@@ -60,6 +60,27 @@ def scale_table(df: DataFrame, cols) -> DataFrame:
     return st.select("col", F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)).alias("scale"))
 
 
+def feature_name_table(df: DataFrame, cat_cols, num_cols) -> DataFrame:
+    """(idx, name) of the one-hot + numeric feature vector, computed
+    distributed: distinct levels ranked by (column position, level) with
+    ``global_rank`` -- the slot order the fitted encoders produce."""
+    from ordertide.operators.ranking import global_rank
+    cat_cols = [c for c in cat_cols if c in df.columns]
+    num_cols = [c for c in num_cols if c in df.columns]
+    pos = F.create_map(*[x for i, c in enumerate(cat_cols) for x in (F.lit(c), F.lit(i))])
+    levels = _stack(df, cat_cols, "string").distinct().withColumn("ord", pos[F.col("col")])
+    ranked = global_rank(levels, ["ord", "value"], size_col="_n")
+    cats = ranked.select((F.col("rank") - 1).cast("int").alias("idx"),
+                         F.concat(F.col("col"), F.lit("_"), F.col("value")).alias("name"))
+    if not num_cols:
+        return cats
+    n_levels = F.coalesce(levels.agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    spark = df.sparkSession
+    nums = spark.createDataFrame([(i, c) for i, c in enumerate(num_cols)], "j int, name string")
+    nums = nums.select((n_levels + F.col("j")).cast("int").alias("idx"), "name")
+    return cats.unionByName(nums)
+
+
 def column_modes(df: DataFrame, cols) -> dict:
     if not cols:
         return {}

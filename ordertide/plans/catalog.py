@@ -953,9 +953,7 @@ def q_feature_scales(spark, d):
            for i, c in enumerate(FE.REG_NUM_COLS)]) + ")"))
 def q_feature_names(spark, d):
     """Expanded one-hot + numeric feature names in vector order."""
-    fm = FE.fit_features(sales_view(spark, d), FE.CAT_COLS, FE.REG_NUM_COLS)
-    rows = list(enumerate(fm.names))  # model metadata: one name per vector slot
-    return spark.createDataFrame(rows, "idx int, name string")
+    return FE.feature_name_table(sales_view(spark, d), FE.CAT_COLS, FE.REG_NUM_COLS)
 
 
 # --- clustering ----------------------------------------------------------------------------

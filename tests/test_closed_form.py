@@ -206,3 +206,18 @@ def test_qq_normal(spark):
     fit = DI.qq_fit(DI.qq_normal(df, "sales", ["k"])).first()
     slope, icpt = np.polyfit(osm, np.sort(x), 1)
     assert abs(fit.slope - slope) < 1e-6 * abs(slope) and abs(fit.intercept - icpt) < 1e-6 * abs(icpt)
+
+
+def test_global_rank_hot_group_is_split(spark):
+    """One group holds a third of the rows: its rows must spread over several
+    range partitions and still get exact ranks."""
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50 + 1)
+                                  .alias("g"), ((F.col("id") * 7) % 1000).alias("v"))
+    r = global_rank(df, ["v", "id"], group_cols=["g"], num_partitions=8, size_col="n")
+    hot = r.where("g = 0")
+    assert hot.count() == 3000 and hot.agg(F.max("rank")).first()[0] == 3000
+    expect = sorted(range(0, 9000, 3), key=lambda i: ((i * 7) % 1000, i))
+    assert [x.id for x in hot.orderBy("rank").collect()] == expect
+    spread = (df.repartitionByRange(8, "g", "v", "id").where("g = 0")
+              .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert spread > 1
