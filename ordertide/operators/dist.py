@@ -19,6 +19,15 @@ from ordertide.operators.joins import join_small
 from ordertide.operators.ranking import global_rank
 
 
+# Histogram bin count clamp(floor(sqrt n), 10, 60); density on
+# 500 grid points; box fences at 1.5 IQR; Filliben's order-statistic medians
+# (i - 0.3175) / (n + 0.365), with the ends 1 - 0.5^(1/n) and 0.5^(1/n).
+MIN_BINS, MAX_BINS = 10, 60
+KDE_POINTS = 500
+FENCE_IQR = 1.5
+FILLIBEN_A, FILLIBEN_B = 0.3175, 0.365
+
+
 def finite_values(df: DataFrame, value: str = "sales", keep=()) -> DataFrame:
     """Rows with a finite numeric ``value`` (as double) plus ``keep`` columns."""
     v = F.col(value).try_cast("double")
@@ -89,7 +98,7 @@ def approx_quantile(df: DataFrame, p: float = 0.75, value: str = "sales", accura
 
 # --- histogram ------------------------------------------------------------------
 
-def auto_bins(n: int, lo: int = 10, hi: int = 60) -> int:
+def auto_bins(n: int, lo: int = MIN_BINS, hi: int = MAX_BINS) -> int:
     return max(lo, min(hi, int(math.isqrt(max(n, 0)))))
 
 
@@ -134,8 +143,8 @@ def box_stats(df: DataFrame, value: str = "sales", group_col: str | None = None,
         v = v.where(F.col(group_col).isNotNull())
     q = exact_quantiles(v, value, [0.25, 0.5, 0.75], groups, key, method, ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    q = (q.withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr"))
-          .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr")))
+    q = (q.withColumn("lower_fence", F.col("q1") - F.lit(FENCE_IQR) * F.col("iqr"))
+          .withColumn("upper_fence", F.col("q3") + F.lit(FENCE_IQR) * F.col("iqr")))
     x = F.col(value)
     whisk = [F.min(F.when(F.col("_in"), x)).alias("whisker_low"),
              F.max(F.when(F.col("_in"), x)).alias("whisker_high"),
@@ -159,8 +168,8 @@ def box_outliers(df: DataFrame, value: str = "sales", group_col: str | None = No
     if group_col:
         v = v.where(F.col(group_col).isNotNull())
     q = exact_quantiles(v, value, [0.25, 0.75], groups, key, method, ["q1", "q3"])
-    f = q.select(*groups, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lf"),
-                 (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("uf"))
+    f = q.select(*groups, (F.col("q1") - FENCE_IQR * (F.col("q3") - F.col("q1"))).alias("lf"),
+                 (F.col("q3") + FENCE_IQR * (F.col("q3") - F.col("q1"))).alias("uf"))
     if not groups:
         lf, uf = f.select("lf").scalar(), f.select("uf").scalar()
         return v.where((F.col(value) < lf) | (F.col(value) > uf))
@@ -183,7 +192,7 @@ def qq_normal(df: DataFrame, value: str = "sales", key=()) -> DataFrame:
     m = (F.when(n == 1, F.lit(0.5))
          .when(F.col("rank") == 1, F.lit(1.0) - last)
          .when(F.col("rank") == F.col("_n"), last)
-         .otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365))))
+         .otherwise((i - F.lit(FILLIBEN_A)) / (n + F.lit(FILLIBEN_B))))
     # the probit approximation is good to ~1e-9, so 9 decimals carry all of it
     return r.select(*key, F.col("rank"), F.round(probit(m), 9).alias("osm"), F.col(value).alias("osr"))
 
@@ -199,7 +208,7 @@ def qq_fit(qq: DataFrame) -> DataFrame:
 KDE_CUTOFF = 39.0  # exp(-39^2/2) underflows to 0.0 in double: dropping farther pairs is exact
 
 
-def kde(df: DataFrame, value: str = "sales", points: int = 500) -> DataFrame:
+def kde(df: DataFrame, value: str = "sales", points: int = KDE_POINTS) -> DataFrame:
     """Gaussian kernel density at ``points`` grid points min + i*(max-min)/points,
     bandwidth Scott's factor n^(-1/5) times the sample std.
 

@@ -80,6 +80,9 @@ def bounds(df: DataFrame, col: str = "order_date") -> tuple:
 
 # --- relative presets (one-page dashboards) -----------------------------
 
+# The one-page dashboards' relative presets (anchor = last
+# order day): today, last week = 6 days back, last month = 29 days back,
+# last quarter = 3 months, last 6 months, last 1/2/3 years, all time.
 DAY_PRESETS = ("custom", "today", "last_week", "last_month", "last_quarter", "last_6_months",
                "last_year", "last_2_years", "last_3_years", "all_time")
 
@@ -125,6 +128,7 @@ def filter_preset(df: DataFrame, preset: str, current: tuple | None = None,
 
 # --- trailing presets (six-tab dashboard) ---------------------------------
 
+# The six-tab dashboard's trailing presets, [max - offset, max].
 TRAILING_PRESETS = {
     "LAST_60D": ("days", 60), "LAST_90D": ("days", 90), "LAST_180D": ("days", 180),
     "LAST_1Y": ("years", 1), "LAST_2Y": ("years", 2), "LAST_3Y": ("years", 3),

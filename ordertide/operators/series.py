@@ -74,15 +74,23 @@ def solve3(m, v):
     return out
 
 
-OMEGA = 2.0 * math.pi / 12.0
+# 12-month season, 6-month horizon, ridge alpha 5, at least
+# 8 months to forecast, band of 1.96 residual standard deviations.
+SEASON_MONTHS = 12
+FORECAST_HORIZON = 6
+FORECAST_ALPHA = 5.0
+FORECAST_MIN_MONTHS = 8
+BAND_Z = 1.96
+
+OMEGA = 2.0 * math.pi / SEASON_MONTHS
 
 
 def seasonal_terms(t: Column) -> list[Column]:
     return [t, F.sin(F.lit(OMEGA) * t), F.cos(F.lit(OMEGA) * t)]
 
 
-def forecast_monthly(df: DataFrame, horizon: int = 6, alpha: float = 5.0,
-                     min_months: int = 8, date_col: str = "order_date") -> DataFrame:
+def forecast_monthly(df: DataFrame, horizon: int = FORECAST_HORIZON, alpha: float = FORECAST_ALPHA,
+                     min_months: int = FORECAST_MIN_MONTHS, date_col: str = "order_date") -> DataFrame:
     """Ridge (alpha, free intercept) of monthly sales on [t, sin, cos] with
     t the index of *observed* months (gaps closed up); ``horizon`` future
     month starts with a band of +-1.96 sigma (sigma = residual std, ddof 1;
@@ -137,7 +145,7 @@ def forecast_monthly(df: DataFrame, horizon: int = 6, alpha: float = 5.0,
     tf = F.col("n") - 1 + F.col("step")
     xf = seasonal_terms(tf)
     yhat = F.col("b0") + F.col("b1") * xf[0] + F.col("b2") * xf[1] + F.col("b3") * xf[2]
-    band = F.when(F.col("sigma") > 0, F.lit(1.96) * F.col("sigma")).otherwise(F.lit(0.0))
+    band = F.when(F.col("sigma") > 0, F.lit(BAND_Z) * F.col("sigma")).otherwise(F.lit(0.0))
     fc = steps.select(
         F.lit("forecast").alias("kind"),
         F.add_months(F.col("last_ds").cast("date"), F.col("step")).cast("timestamp_ntz").alias("ds"),

@@ -23,7 +23,17 @@ from ordertide.operators.features import CAT_COLS, CLS_NUM_COLS, REG_NUM_COLS, f
 from ordertide.operators.ranking import global_rank
 from ordertide.session import reliable_checkpoint
 
-NORMAL_SOLVER_MAX_FEATURES = 4096
+NORMAL_SOLVER_MAX_FEATURES = 4096  # Spark's normal-equation solver limit
+
+# High-value cutoff at the 0.75 sales quantile; classification
+# needs 40 rows and 8 per class and tests on a stratified 25 %; regression
+# needs 200 rows, tests on 20 % by default, ridge alpha 1; forest of 250 trees
+# with min leaf 2 using all features per split; top 20 importances.
+HIGH_VALUE_Q = 0.75
+CLS_MIN_ROWS, CLS_MIN_PER_CLASS, CLS_TEST_FRAC = 40, 8, 0.25
+REG_MIN_ROWS, REG_TEST_FRAC, RIDGE_ALPHA = 200, 0.2, 1.0
+FOREST_TREES, FOREST_MIN_LEAF = 250, 2
+TOP_IMPORTANCES = 20
 
 
 def _key_text(df: DataFrame | None, k: str) -> Column:
@@ -81,14 +91,14 @@ def _top20(spark, fm, values, by_abs: bool, kind: str) -> DataFrame:
     v = np.asarray(values, dtype=float)
     if len(v) != fm.size:
         raise ValueError(f"{len(v)} model weights for {fm.size} features")
-    order = np.argsort(np.abs(v) if by_abs else v, kind="stable")[::-1][:20]
+    order = np.argsort(np.abs(v) if by_abs else v, kind="stable")[::-1][:TOP_IMPORTANCES]
     rows = [(i + 1, fm.name_of(int(j)), float(v[j])) for i, j in enumerate(order)]
     return spark.createDataFrame(rows, "rank int, feature string, value double").withColumn("type", F.lit(kind))
 
 
-def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2, seed: int = 0,
-                   key_cols=None, label: str = "sales", num_trees: int = 250, max_depth: int = 30,
-                   min_rows: int = 200, encoding: str = "onehot") -> dict:
+def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_TEST_FRAC, seed: int = 0,
+                   key_cols=None, label: str = "sales", num_trees: int = FOREST_TREES, max_depth: int = 30,
+                   min_rows: int = REG_MIN_ROWS, encoding: str = "onehot") -> dict:
     """Fit sales on the categorical + postal-code features.
 
     model: 'linear' (OLS), 'ridge' (alpha 1) or 'forest' (random forest,
@@ -116,12 +126,12 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = 0.2,
         if model == "ridge":
             st = train.agg(F.count(F.lit(1)).alias("n"),
                            (F.stddev_pop("label") if solver == "normal" else F.stddev_samp("label")).alias("sd")).first()
-            reg = 1.0 * (st["sd"] or 0.0) / st["n"]
+            reg = RIDGE_ALPHA * (st["sd"] or 0.0) / st["n"]
         est = LinearRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0,
                                standardization=False, solver=solver, maxIter=1000, tol=1e-6)
     elif model == "forest":
         est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                    maxDepth=min(max_depth, 30), minInstancesPerNode=2,
+                                    maxDepth=min(max_depth, 30), minInstancesPerNode=FOREST_MIN_LEAF,
                                     featureSubsetStrategy="all", seed=seed, maxBins=32,
                                     subsamplingRate=1.0, bootstrap=True)
     else:
@@ -145,7 +155,7 @@ def ideal_line(pred: DataFrame) -> DataFrame:
 
 # --- classification ---------------------------------------------------------------
 
-def high_value_labels(df: DataFrame, key_cols, cutoff_p: float = 0.75, value: str = "sales"):
+def high_value_labels(df: DataFrame, key_cols, cutoff_p: float = HIGH_VALUE_Q, value: str = "sales"):
     """(rows with label = value >= the exact p-quantile, cutoff)."""
     v = finite_label_rows(df, value)
     q = exact_quantiles(v.select(*key_cols, F.col(value).cast("double").alias("_v")), "_v", [cutoff_p],
@@ -154,8 +164,8 @@ def high_value_labels(df: DataFrame, key_cols, cutoff_p: float = 0.75, value: st
     return v.withColumn("label", (F.col(value).cast("double") >= F.lit(cut)).cast("int")), cut
 
 
-def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = 0.25, seed: int = 0,
-                   min_rows: int = 40, min_per_class: int = 8, max_iter: int = 1000,
+def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = CLS_TEST_FRAC, seed: int = 0,
+                   min_rows: int = CLS_MIN_ROWS, min_per_class: int = CLS_MIN_PER_CLASS, max_iter: int = 1000,
                    encoding: str = "onehot") -> dict:
     """High-value order classifier: label = sales >= its 0.75 quantile;
     balanced-weight L2 logistic regression (C = 1) on the categorical and

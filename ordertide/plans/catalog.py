@@ -785,7 +785,7 @@ from ordertide.operators import supervised as SU  # noqa: E402
 # (25 trees at depth 30 took ~7 minutes), so the registered check uses a
 # smaller forest of the same kind (one-hot features, min leaf 2, all
 # features per split).
-FOREST_TREES, FOREST_DEPTH = 20, 8
+REGISTERED_FOREST_TREES, REGISTERED_FOREST_DEPTH = 20, 8
 _FITS: dict = {}
 
 
@@ -798,7 +798,8 @@ def _fit(spark, d, kind: str):
         if kind == "classifier":
             _FITS[k] = SU.fit_classifier(s)
         elif kind == "forest":
-            _FITS[k] = SU.fit_regression(s, "forest", num_trees=FOREST_TREES, max_depth=FOREST_DEPTH)
+            _FITS[k] = SU.fit_regression(s, "forest", num_trees=REGISTERED_FOREST_TREES,
+                                          max_depth=REGISTERED_FOREST_DEPTH)
         else:
             _FITS[k] = SU.fit_regression(s, kind)
     return _FITS[k]
