@@ -140,7 +140,10 @@ class FeatureModel:
             parts += [f"{c}_oh" for c in self.cat_cols]
         x = x.withColumns({f"{c}_s": F.col(c) / F.lit(self.scales[c]) for c in self.num_cols})
         parts += [f"{c}_s" for c in self.num_cols]
-        return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(x)
+        x = VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(x)
+        # drop the per-slot attribute metadata (one entry per level): every
+        # later plan would carry it; names live in ``names`` / ``name_of``
+        return x.withColumn(out, F.col(out).alias(out, metadata={}))
 
     @property
     def size(self) -> int:
