@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +143,8 @@ def box_stats(df: DataFrame, value: str = "sales", group_col: str | None = None,
     if group_col:
         v = v.where(F.col(group_col).isNotNull())
     q = exact_quantiles(v, value, [0.25, 0.5, 0.75], groups, key, method, ["q1", "median", "q3"])
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    # one row per group, read twice below (fences and output): keep it
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1")).persist(StorageLevel.MEMORY_AND_DISK)
     q = (q.withColumn("lower_fence", F.col("q1") - F.lit(FENCE_IQR) * F.col("iqr"))
           .withColumn("upper_fence", F.col("q3") + F.lit(FENCE_IQR) * F.col("iqr")))
     x = F.col(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,13 @@ BROADCAST_MAX_ROWS = 200_000
 
 
 def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(small)`` when it has at most ``max_rows`` rows (checked
-    with a count of the already-small table), else ``small`` unchanged."""
-    n = small.limit(max_rows + 1).count()
+    """``broadcast(small)`` when it has at most ``max_rows`` rows, else
+    ``small`` for a shuffle join. The table is persisted before it is
+    counted, so the check materialises it once and the join reuses it
+    (its lineage is usually an aggregate over all rows). Persisted blocks
+    lost with an executor are recomputed from lineage."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 
 
