@@ -9,6 +9,7 @@ partition keeps its k best, no global sort. Ties are broken by the key.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,9 @@ def share(result: DataFrame, value: str = "sales", name: str = "share") -> DataF
     """value / total of ``value`` over the rows of ``result`` (an aggregated
     result with an exact decimal ``value``). The total is a scalar subquery,
     summed exactly before the division; no single-partition window."""
+    # the aggregated result is read twice (rows and total): persist it so the
+    # scan and aggregation behind it run once
+    result = result.persist(StorageLevel.MEMORY_AND_DISK)
     total = result.agg(F.sum(value).cast("double")).scalar()
     return result.select(*[c for c in result.columns if c != value],
                          F.col(value).cast("double").alias(value),

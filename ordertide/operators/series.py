@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +103,9 @@ def forecast_monthly(df: DataFrame, horizon: int = FORECAST_HORIZON, alpha: floa
     """
     hist = monthly_series(df, date_col)
     hist = hist.withColumn("t", (F.row_number().over(_series_window("ds")) - 1).cast("double"))
+    # the series (one row per month) feeds both the history rows and the fit;
+    # persisting it keeps the fact scan + aggregation to one pass
+    hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
     x = seasonal_terms(F.col("t"))
     names = ["x0", "x1", "x2"]
     hx = hist.select("ds", "y", "t", *[c.alias(n) for c, n in zip(x, names)])
