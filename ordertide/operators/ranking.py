@@ -3,7 +3,8 @@
 ``Window.orderBy`` with no partition moves every row to one task. Instead:
 
 1. ``repartitionByRange`` on (group, order, tie-break) spreads the total order
-   over N partitions -- a hot group is split across several of them -- then
+   over N partitions (``spark.sql.shuffle.partitions``, merged by AQE when
+   the data is small) -- a hot group is split across several of them -- then
    ``sortWithinPartitions`` fixes the order inside each.
 2. Each row gets its local position (``monotonically_increasing_id`` minus
    the partition base, JVM-side) and, when running sums are wanted, local
@@ -69,11 +70,13 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
     of each ``sum_cols`` column in that order; optionally ``size_col`` = the
     group's row count and (``total_sums``) ``total_<c>`` = the group's sum. ``order`` must be a total order (end it with a unique
     key) for ranks to be reproducible."""
-    spark = df.sparkSession
     group_cols, sum_cols = list(group_cols), list(sum_cols)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + _order_cols(order)
-    r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count, AQE may merge adjacent ranges to the data
+    # size; merged ranges stay contiguous and ordered, so ranks are unaffected.
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    r = (ranged.sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_li", F.monotonically_increasing_id() - F.col("_pid").cast("long") * F.lit(_BASE)))
     if sum_cols and LOCAL_SUMS == "pandas":
