@@ -37,17 +37,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (e.g. one large row group) so the joins after it run in parallel.
-    A big input already has many splits and is returned unchanged, so this
-    adds no shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def read_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The six tables the sales view is built from. The fact scan is not
     repartitioned: its join with orders shuffles it on the key anyway."""
