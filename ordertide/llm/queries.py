@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import line_dedup, mixing, shard_tree
+from ordertide.llm import line_dedup, mixing, shard_tree, simhash
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,11 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_tree.shard(read_corpus(spark, sf_dir, "documents"), shard_tree.balanced_tree(SHARDS))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"),
                       "grown_shard")
+
+
+@register()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over all documents: 3-word shingles, links at 2 or fewer
+    differing bits."""
+    out = simhash.near_duplicates(read_corpus(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
