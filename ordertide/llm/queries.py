@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import line_dedup, mixing, shard_tree, simhash
+from ordertide.llm import line_dedup, mixing, packing, shard_tree, simhash
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     differing bits."""
     out = simhash.near_duplicates(read_corpus(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_path() -> str:
+    """The public word tokenizer's file, where its package is installed."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register()
+def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over all documents: sequences of at most 4096 tokens."""
+    pieces = packing.tokenize(read_corpus(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces, capacity=4096)
