@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import line_dedup, mixing, packing, shard_tree, simhash
+from ordertide.llm import line_dedup, mixing, packing, quality_llr, shard_tree, simhash
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,18 @@ def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(read_corpus(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
     pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(pieces, capacity=4096)
+
+
+#: Trusted documents whose n-grams are the target of operator 5, at most.
+TRUSTED_ROWS = 20_000
+
+
+@register()
+def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over all documents: the target counts come from at most
+    TRUSTED_ROWS documents that ``labels`` marks quality 1, the corpus counts
+    from all documents."""
+    trusted = quality_llr.trusted_sample(read_corpus(spark, sf_dir, "labels"), TRUSTED_ROWS)
+    out = quality_llr.judge(read_corpus(spark, sf_dir, "documents"), trusted)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "score")
