@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import line_dedup, mixing, packing, quality_llr, shard_tree, simhash
+from ordertide.llm import html_tree, line_dedup, mixing, packing, quality_llr, shard_tree, simhash
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_llr.judge(read_corpus(spark, sf_dir, "documents"), trusted)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       "kept", "score")
+
+
+@register()
+def op8_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over all pages."""
+    return html_tree.extract(read_corpus(spark, sf_dir, "pages"))
