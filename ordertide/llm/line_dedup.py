@@ -1,10 +1,7 @@
 """Line de-duplication with two Bloom filters.
 
-1. Every task hashes its documents' lines and turns them into positions of a
-   once-seen and a twice-seen filter. Partial filters travel as positions per
-   segment of the bit space and are folded segment by segment (once: OR;
-   twice: OR, and what is set in two partial once-filters), so no task holds
-   more than its segments and no line travels.
+1. Every task hashes its documents' lines into a once-seen and a twice-seen
+   filter (bloom.py); no line travels.
 2. The twice-seen filter (its size is counted and bounded) goes to all tasks;
    a second scan emits digests only of lines that it suspects. These alone
    shuffle: exact counts per line and the choice of the kept occurrence.
@@ -27,11 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordertide.llm.bloom import TwiceSeen, binary_column, twice_seen
 from ordertide.llm.tables import stored
 
-SEGMENT_BITS = 1 << 20
-FLUSH_LINES = 1 << 20
-
 
 def line_key(line: bytes) -> bytes:
     """The line without ASCII white space at its ends, A-Z lower-cased."""
@@ -51,84 +46,27 @@ def long_keys(text: bytes | None, min_chars: int) -> set[bytes]:
     return {k for k in (line_key(x) for x in text.split(b"\n")) if is_long(k, min_chars)}
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two bit positions for each 64-bit hash, as one array with a column each."""
-    mask = np.uint64(bits - 1)
-    return np.stack([hashes & mask, (hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) & mask], axis=1)
-
-
-def filter_bits(lines: int, bits_per_line: int, max_bits: int) -> int:
-    """The power of two that holds ``bits_per_line`` for each line, from one
-    segment up to ``max_bits``."""
-    want = max(SEGMENT_BITS, min(max_bits, lines * bits_per_line))
-    return 1 << (want - 1).bit_length() if want & (want - 1) else want
-
-
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
-
-
-def _partial_filters(bits: int, min_chars: int):
-    """mapInArrow body: rows (segment, once, twice) with little-endian uint32
-    offsets of the bits set once and twice or more by this task's lines."""
-    def rows(hashes: list[int]) -> pa.RecordBatch:
-        pos, n = np.unique(positions(np.array(hashes, dtype=np.uint64), bits).ravel(), return_counts=True)
-        pos = pos.astype(np.int64)
-        seg, off = pos // SEGMENT_BITS, (pos % SEGMENT_BITS).astype("<u4")
-        cuts = np.flatnonzero(np.diff(seg, prepend=-1))
-        out = [(int(seg[a]), off[a:b].tobytes(), off[a:b][n[a:b] > 1].tobytes())
-               for a, b in zip(cuts, [*cuts[1:], len(seg)])]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()),
-                                           pa.array([r[1] for r in out], pa.binary()),
-                                           pa.array([r[2] for r in out], pa.binary())], ["segment", "once", "twice"])
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        hashes: list[int] = []
-        for b in batches:
-            for t in _texts(b, "text"):
-                hashes += [xxhash.xxh3_64_intdigest(k) for k in long_keys(t, min_chars)]
-                if len(hashes) >= FLUSH_LINES:
-                    yield rows(hashes)
-                    hashes = []
-        if hashes:
-            yield rows(hashes)
-    return run
+def line_hashes(min_chars: int):
+    """Hashes of a text's distinct long line keys."""
+    def of(text: bytes | None) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(k) for k in long_keys(text, min_chars)], dtype=np.uint64)
+    return of
 
 
-def _fold(batches: Iterator[pa.RecordBatch]):
-    """mapInArrow body: fold the partial filters of this task's segments and
-    give the offsets of each segment's twice-seen bits."""
-    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for b in batches:
-        for seg, once, twice in zip(*(c.to_pylist() for c in b.columns)):
-            o, t = seen.setdefault(seg, (np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)))
-            at = np.frombuffer(once, "<u4")
-            t[at[o[at]]] = True
-            t[np.frombuffer(twice, "<u4")] = True
-            o[at] = True
-    for seg, (_, t) in seen.items():
-        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()),
-                                          pa.array([np.packbits(t, bitorder="little").tobytes()], pa.binary())],
-                                         ["segment", "bits"])
-
-
-def _suspects(shared, bits: int, min_chars: int):
+def _suspects(seen: TwiceSeen, min_chars: int):
     """mapInArrow body: (doc_id, digest) of each document's distinct long lines
-    whose two bits are set in the twice-seen filter."""
+    that the filter suspects."""
     def run(batches: Iterator[pa.RecordBatch]):
-        twice = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             ids = b.column(b.schema.get_field_index("doc_id"))
             rows, keys = [], []
-            for i, t in enumerate(_texts(b, "text")):
+            for i, t in enumerate(binary_column(b, "text")):
                 own = long_keys(t, min_chars)
                 keys += own
                 rows += [i] * len(own)
             if not keys:
                 continue
-            pos = positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64), bits)
-            hit = ((twice[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(seen.suspects(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(np.array(rows)[at])),
                  pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in at], pa.binary())],
@@ -141,7 +79,7 @@ def _rewrite(min_chars: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             texts, n_lines, n_dropped = [], [], []
-            for t, lost in zip(_texts(b, "text"), b.column(b.schema.get_field_index("lost")).to_pylist()):
+            for t, lost in zip(binary_column(b, "text"), b.column(b.schema.get_field_index("lost")).to_pylist()):
                 lines = (t or b"").split(b"\n")
                 kept = lines
                 if lost:
@@ -175,22 +113,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: s
 
     ``max_bits`` bounds the filter that is sent to all tasks (2^30 bits: 128
     MB); beyond it more lines are confirmed exactly, none is lost."""
-    spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                     *[F.col(f"`{c}`") for c in carry])
     newlines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     lines = d.agg(F.sum(newlines + 1)).first()[0] or 0
-    bits = filter_bits(lines, bits_per_line, max_bits)
-    partial = d.select("text").mapInArrow(_partial_filters(bits, min_chars), "segment int, once binary, twice binary")
-    segments = partial.repartition("segment").mapInArrow(_fold, "segment int, bits binary").collect()
-    twice = bytearray(bits // 8)
-    for seg, part in segments:  # at most bits / 8 bytes in all
-        twice[seg * SEGMENT_BITS // 8:(seg + 1) * SEGMENT_BITS // 8] = part
-    shared = spark.sparkContext.broadcast(bytes(twice))
+    seen = twice_seen(d, line_hashes(min_chars), lines, bits_per_line, max_bits)
     id_type = dict(d.dtypes)["doc_id"]
     suspects = stored(d.select("doc_id", "text").mapInArrow(
-        _suspects(shared, bits, min_chars), f"doc_id {id_type}, digest binary"), "line-suspects")
-    shared.unpersist()
+        _suspects(seen, min_chars), f"doc_id {id_type}, digest binary"), "line-suspects")
+    seen.release()
     best = F.max("doc_id") if keep == "last" else F.min("doc_id")
     confirmed = stored(suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("keeper"))
                        .where(F.col("n") >= min_docs).select("digest", "keeper"), "line-confirmed")

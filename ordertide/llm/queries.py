@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import html_tree, line_dedup, mixing, packing, quality_llr, shard_tree, simhash
+from ordertide.llm import html_tree, line_dedup, mixing, packing, quality_llr, shard_tree, simhash, span_dedup
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,12 @@ def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8 over all pages."""
     return html_tree.extract(read_corpus(spark, sf_dir, "pages"))
+
+
+@register()
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over all documents: spans of 3 sentences or clauses and at
+    least 15 words stay only where they occur first."""
+    out = span_dedup.dedup_spans(read_corpus(spark, sf_dir, "documents"), sentences=3, min_words=15)
+    return out.select("doc_id", "text", "n_sentences", "n_removed",
+                      F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
