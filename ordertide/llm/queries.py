@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import html_tree, line_dedup, mixing, packing, quality_llr, shard_tree, simhash, span_dedup
+from ordertide.llm import html_tree, line_dedup, mixing, packing, pu_classifier, quality_llr, shard_tree, simhash, span_dedup
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,10 @@ def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = span_dedup.dedup_spans(read_corpus(spark, sf_dir, "documents"), sentences=3, min_words=15)
     return out.select("doc_id", "text", "n_sentences", "n_removed",
                       F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@register()
+def op7_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over all documents: trained on at most 6,000 trusted and
+    6,000 unlabelled documents, none of them held out."""
+    return pu_classifier.classify(read_corpus(spark, sf_dir, "documents"), read_corpus(spark, sf_dir, "labels"))
