@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import html_tree, line_dedup, mixing, packing, pu_classifier, quality_llr, shard_tree, simhash, span_dedup
+from ordertide.llm import embed_forest, html_tree, line_dedup, mixing, packing, pu_classifier, quality_llr, shard_tree, simhash, span_dedup
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,24 @@ def op7_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over all documents: trained on at most 6,000 trusted and
     6,000 unlabelled documents, none of them held out."""
     return pu_classifier.classify(read_corpus(spark, sf_dir, "documents"), read_corpus(spark, sf_dir, "labels"))
+
+
+@register("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""")
+def op3_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over all embeddings: links at a cosine of 0.93 or more within
+    a label."""
+    out = embed_forest.link(read_corpus(spark, sf_dir, "embeddings"), threshold=0.93)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
