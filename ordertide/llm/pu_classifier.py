@@ -149,14 +149,15 @@ def _sample_features(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([*same, pa.array(x, pa.binary())], ["doc_id", "trusted", "x"])
 
 
-def _scores(model: Model):
+def _scores(model: Model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            texts = binary_column(b, "text")
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            for at in range(0, len(texts), 1024):
-                x = np.stack([features(t) for t in texts[at:at + 1024]])
-                yield pa.RecordBatch.from_arrays([ids[at:at + 1024], pa.array(model.score(x))], ["doc_id", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                x = np.stack([features(t) for t in binary_column(b, "text")])
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(b.schema.get_field_index(c)) for c in columns], pa.array(model.score(x))],
+                    [*columns, "score"])
     return run
 
 
@@ -187,9 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unlabelle
 
 
 def classify(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unlabelled_rows: int = 6000,
-             prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher:
-    likelier good), predicted (1 if score >= 0.5, else 0).
+    likelier good), predicted (1 if score >= 0.5, else 0), and the ``carry``
+    columns ("text" for the text; names must differ from the result's own).
 
     Null, empty and blank texts get the score of a text without features. With
     no usable label every score is 0.5. Equal texts get equal scores whatever
@@ -197,6 +199,11 @@ def classify(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unla
     give empty results. Other columns are not read."""
     d = pick(docs, doc_id=id_col, text=text_col)
     model = fit(d, labels, positive_rows, unlabelled_rows, prior)
-    out = d.mapInArrow(_scores(model), f"doc_id {dict(d.dtypes)['doc_id']}, score double")
+    more = [c for c in carry if c != "text"]
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                    *[F.col(f"`{c}`") for c in more])
+    columns = ["doc_id", *carry]
+    schema = ", ".join([f"`{c}` {t}" for c, t in d.select(*[F.col(f"`{c}`") for c in columns]).dtypes] + ["score double"])
+    out = d.mapInArrow(_scores(model, columns), schema)
     return out.select("doc_id", held_out().alias("held_out"), "score",
-                      F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+                      F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *[F.col(f"`{c}`") for c in carry])

@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.llm.components import connected_components
@@ -62,9 +62,9 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            ids, texts = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            ids, texts, hashes = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "text_hash"))
             fp = np.array([fingerprint(t, shingle) for t in texts.cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
     return run
 
 
@@ -104,6 +104,25 @@ def pivot_links(classes: DataFrame, max_bits: int, groups: int) -> DataFrame:
     return a.join(b, near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, text_hash (of the text), fp, group (a fingerprint of the
+    component) and component_id for the rows of ``docs`` (doc_id, text)."""
+    id_type = dict(docs.dtypes)["doc_id"]
+    prints = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+                    .mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, text_hash long, fp long"), "simhash-prints")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    links = stored(pivot_links(classes, max_bits, block_groups(classes.count(), max_bits)), "simhash-links")
+    members = connected_components(links)
+    named = members.join(classes, F.col("v") == F.col("fp")).select("v", "root", "first_id")
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    linked = stored(members.join(ids, "root").select("v", "root", "component_id"), "simhash-linked")
+    by_class = stored(classes.join(linked, F.col("fp") == F.col("v"), "left").select(
+        F.col("fp").alias("class"), F.coalesce("root", "fp").alias("group"),
+        F.when(F.col("v").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")),
+        "simhash-components")
+    return prints.join(by_class, F.col("fp") == F.col("class")).drop("class")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (the fingerprint as a signed
@@ -114,16 +133,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
     Null ids count as members, never as a component's id (all null: null).
     Repeated rows stay, one result row each. Empty tables give empty results.
     Other columns of ``docs`` are not read."""
-    d = pick(docs, doc_id=id_col, text=text_col)
-    id_type = dict(d.dtypes)["doc_id"]
-    prints = stored(d.mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, fp long"), "simhash-prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    links = stored(pivot_links(classes, max_bits, block_groups(classes.count(), max_bits)), "simhash-links")
-    members = connected_components(links)
-    named = members.join(classes, F.col("v") == F.col("fp")).select("v", "root", "first_id")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = stored(members.join(ids, "root").select("v", "component_id"), "simhash-linked")
-    by_class = classes.join(linked, F.col("fp") == F.col("v"), "left").select(
-        F.col("fp").alias("class"), F.coalesce("component_id", "first_id").alias("component_id"))
-    by_class = stored(by_class, "simhash-components")
-    return prints.join(by_class, F.col("fp") == F.col("class")).select("doc_id", "fp", "component_id")
+    return grouped(pick(docs, doc_id=id_col, text=text_col), shingle, max_bits).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one
+    with the smallest id (null last; then by a hash of the text), once."""
+    found = grouped(pick(docs, doc_id=id_col, text=text_col), shingle, max_bits)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+                                       .alias("first"))
+    no_id, zero = F.col(f"`{id_col}`").isNull(), F.lit(0).cast(dict(docs.dtypes)[id_col])
+    first = first.select(F.col("first.no_id").alias("__no_id"), F.coalesce("first.doc_id", zero).alias("__id"),
+                         F.col("first.text_hash").alias("__hash"))
+    keys = ["__no_id", "__id", "__hash"]
+    d = docs.withColumns({"__no_id": no_id, "__id": F.coalesce(F.col(f"`{id_col}`"), zero),
+                          "__hash": F.xxhash64(F.col(f"`{text_col}`"))}).join(first, keys)
+    d = d.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    return d.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
