@@ -24,6 +24,7 @@ from ordertide.llm.tables import WHITE, pick, words
 
 PUNCTUATION = "([!-/:-@\\[-`{-~]+)"
 SYMBOLS = "#*$%&|<>"
+ANY_SYMBOL = "[#*$%&|<>]"
 WINDOW = 5
 #: Decimals of a log ratio: sums of whole numbers don't depend on their order.
 UNIT = 10_000
@@ -58,9 +59,10 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int, smoothing:
     t = F.broadcast(trusted_ids.select(F.col("doc_id").alias("__trusted")))
     d = docs.join(t, F.col("doc_id") == F.col("__trusted"), "left")
     d = with_grams(d.select("text", F.col("__trusted").isNotNull().cast("long").alias("trusted")), buckets)
-    counted = (d.select(F.explode("grams").alias("bucket"), "trusted").groupBy("bucket")
-               .agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("t")).collect())  # <= buckets rows
-    seen = {r["bucket"]: (r["n"], r["t"]) for r in counted}
+    # explode() would have the optimizer compute the n-grams again, for a filter on empty arrays
+    counted = (d.select(F.explode_outer("grams").alias("bucket"), "trusted").groupBy("bucket")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("t")).collect())  # <= buckets + 1 rows
+    seen = {r["bucket"]: (r["n"], r["t"]) for r in counted if r["bucket"] is not None}
     n_all, n_trusted = (sum(x[i] for x in seen.values()) + smoothing * buckets for i in (0, 1))
     out = []
     for b in range(buckets):
@@ -94,7 +96,8 @@ def with_rules(df: DataFrame) -> DataFrame:
     df = df.withColumn("w", words(F.col("text"))).withColumn("lines", lines)
     df = df.withColumns({
         "n_words": F.size("w").cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.when(text.rlike(ANY_SYMBOL), F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
+                      .otherwise(0).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "h1": F.transform("w", lambda x: F.xxhash64(x))}).drop("w", "lines")
     n = F.size("h1")
