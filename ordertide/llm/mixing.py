@@ -105,7 +105,7 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame
     """The mixed corpus: each document of ``docs`` as often as ``mixed`` says.
     Rows are matched by id (null matches null); where several rows share an
     id, each is repeated by the most copies that any of them got."""
-    copies = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    d = docs.join(copies.where("__copies > 0"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of ``docs`` can't clash within
+    d = docs.select(F.col(f"`{id_col}`").alias("own_id"), row).join(copies, F.col("own_id").eqNullSafe(F.col("id")))
+    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

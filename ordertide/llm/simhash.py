@@ -143,11 +143,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
     found = grouped(pick(docs, doc_id=id_col, text=text_col), shingle, max_bits)
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
                                        .alias("first"))
-    no_id, zero = F.col(f"`{id_col}`").isNull(), F.lit(0).cast(dict(docs.dtypes)[id_col])
-    first = first.select(F.col("first.no_id").alias("__no_id"), F.coalesce("first.doc_id", zero).alias("__id"),
-                         F.col("first.text_hash").alias("__hash"))
-    keys = ["__no_id", "__id", "__hash"]
-    d = docs.withColumns({"__no_id": no_id, "__id": F.coalesce(F.col(f"`{id_col}`"), zero),
-                          "__hash": F.xxhash64(F.col(f"`{text_col}`"))}).join(first, keys)
-    d = d.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    return d.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    zero = F.lit(0).cast(found.schema["doc_id"].dataType)
+    first = first.select("first.no_id", F.coalesce("first.doc_id", zero).alias("id"), "first.text_hash")
+    keys = ["no_id", "id", "text_hash"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of ``docs`` can't clash within
+    d = docs.select(F.col(f"`{id_col}`").isNull().alias("no_id"), F.coalesce(F.col(f"`{id_col}`"), zero).alias("id"),
+                    F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), row).join(first, keys)
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    return d.where("n = 1").select("row.*")
