@@ -18,6 +18,7 @@ hash buckets, so a very common length (full pieces) is not one task.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ordertide.llm.tables import bucket_rank, pick, stored
 
 ID_BYTES = 4
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Pieces per result batch hold about this many bytes of ids.
 BATCH_BYTES = 8 << 20
 _TOKENIZERS: dict[int, tuple] = {}
@@ -36,29 +37,80 @@ _TOKENIZERS: dict[int, tuple] = {}
 
 class WordCache:
     """Ids of white-space separated words as bytes, in two generations of at
-    most CACHE_WORDS words: frequent ones stay, memory is bounded."""
+    most CACHE_WORDS words: frequent ones stay, memory is bounded.
+
+    Unknown words are encoded together. The tokenizer cuts between letters and
+    marks, so a word that is letters and then marks is the ids of both parts;
+    runs of letters are cut apart at the tokens that end a word, other words
+    by a mark between them that is one id."""
+
+    MARK = "\x01"
+    #: Lower-case letters of ASCII and Latin-1 in UTF-8, then ASCII marks.
+    LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,;:!?*#$%&|]*)\Z")
+    WORD_END = "</w>"
 
     def __init__(self, tokenizer):
         self.tokenizer, self.young, self.old = tokenizer, {}, {}
+        self.mark = np.array(self._encode(self.MARK), dtype="<u4")
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def ids(self, text: bytes) -> bytes:
         w = text.lower().split()
-        missing = [x for x in set(w) if x not in self.young]
-        if len(self.young) + len(missing) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-            missing = list(set(w))
-        new = []
+        missing = set(w).difference(self.young)
+        if missing:
+            if len(self.young) + 2 * len(missing) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+                missing = set(w)
+            self._learn(missing)
+        return b"".join(map(self.young.__getitem__, w))
+
+    def _learn(self, missing: set[bytes]) -> None:
+        young, old, letters, others, cut = self.young, self.old, set(), set(), []
         for x in missing:
-            if (known := self.old.get(x)) is None:
-                new.append(x)
+            if (known := old.get(x)) is not None:
+                young[x] = known
+                continue
+            m = self.LETTERS.match(x)
+            if m is None:
+                others.add(x)
+                continue
+            word, marks = m.groups()
+            if marks:
+                cut.append((x, word, marks))
+            for part, new in ((word, letters), (marks, others)):
+                if part and part not in young:
+                    if (known := old.get(part)) is not None:
+                        young[part] = known
+                    else:
+                        new.add(part)
+        if letters:
+            new = list(letters)
+            ids = np.array(self._encode(b" ".join(new).decode()), dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(new):
+                self._keep(new, ids, [0, *ends[:-1].tolist()], ends.tolist())
             else:
-                self.young[x] = known
-        if new:
-            encoded = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in new],
-                                                  add_special_tokens=False)
-            for x, e in zip(new, encoded):
-                self.young[x] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([self.young[x] for x in w])
+                others |= letters
+        if others:
+            new = list(others)
+            texts = [x.decode("utf-8", "replace") for x in new]
+            ids = np.array(self._encode(f" {self.MARK} ".join(texts)), dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
+            if len(cuts) == len(new) - 1:
+                self._keep(new, ids, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)])
+            else:  # a word holds the mark itself
+                young.update((x, np.array(self._encode(t), dtype="<u4").tobytes()) for x, t in zip(new, texts))
+        for x, word, marks in cut:
+            young[x] = young[word] + young[marks]
+
+    def _keep(self, new: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        data = ids.tobytes()
+        self.young.update(zip(new, (data[a * ID_BYTES:b * ID_BYTES] for a, b in zip(starts, ends))))
 
 
 def _word_cache(shared) -> WordCache:
@@ -206,6 +258,9 @@ class _Open:
                 self.runs[room] = []
             self.runs[room].append((count, contents))
 
+    def total(self) -> int:
+        return sum(count for runs in self.runs.values() for count, _ in runs)
+
     def tightest(self, length: int) -> tuple[int, int, tuple] | None:
         at = bisect.bisect_left(self.rooms, length)
         if at == len(self.rooms):
@@ -217,10 +272,17 @@ class _Open:
         return room, count, contents
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 48, large_from: float = 1 / 3) -> dict[str, np.ndarray]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 48,
+         large_from: tuple[float, ...] = (1 / 3, 1 / 2)) -> dict[str, np.ndarray]:
     """Where pieces go: for each length, runs of ranks with the run's first
     sequence and its offset, as arrays length, rank, sequence, offset sorted
-    by (length, rank)."""
+    by (length, rank). Lengths above a share of the capacity are large; of the
+    shares in ``large_from`` the one that needs the fewest sequences is taken."""
+    tried = [_grouped_plan(histogram, capacity, groups, share) for share in large_from]
+    return _layout(min(tried, key=_Open.total))
+
+
+def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large_from: float) -> _Open:
     large = [(n, c) for n, c in sorted(histogram.items(), reverse=True) if c and n > capacity * large_from]
     rest = {n: c for n, c in histogram.items() if c and n <= capacity * large_from}
     total = sum(c for _, c in large)
@@ -256,7 +318,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 48, large_from:
             c -= full * each
             if found:
                 sequences.put(room, count - full, contents)
-    return _layout(sequences)
+    return sequences
 
 
 def _layout(sequences: _Open) -> dict[str, np.ndarray]:
