@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 import uuid
 
@@ -47,20 +48,22 @@ def panels(s):
         "sales_hierarchy": lambda: G.sales_hierarchy(s, "region", "state"),
         "group_features": lambda: G.group_features(s),
         "forecast_monthly": lambda: SE.forecast_monthly(s),
-        "sales_quantile": lambda: DI.sales_quantile(s, 0.75, key=ROW_KEY),
+        "sales_quantile": lambda: DI.sales_quantile(s, 0.75),
         "histogram": lambda: DI.histogram(s),
-        "box_stats": lambda: DI.box_stats(s, "sales", "category", key=ROW_KEY),
+        "box_stats": lambda: DI.box_stats(s, "sales", "category"),
         "qq_normal": lambda: DI.qq_normal(s, "sales", ROW_KEY),
         "kde": lambda: DI.kde(s, "sales", 500),
-        "ridge_regression": lambda: _ridge(s),
+        "linear_regression": lambda: _regression(s, "linear"),
+        "ridge_regression": lambda: _regression(s, "ridge"),
         "classifier_roc": lambda: _classifier(s),
-        "kmeans": lambda: CL.kmeans_clusters(s),
-        "elbow_silhouette": lambda: CL.elbow_and_silhouette(s)[0],
+        "kmeans": lambda: CL.kmeans_clusters(CL.cluster_groups_table(s)[0]),
+        "elbow_silhouette": lambda: CL.elbow_and_silhouette(CL.cluster_groups_table(s)[0])[0],
+        "cluster_hierarchy": lambda: CL.cluster_hierarchy(CL.cluster_groups_table(s)[0]),
     }
 
 
-def _ridge(s):
-    r = SU.fit_regression(s, "ridge")
+def _regression(s, model):
+    r = SU.fit_regression(s, model)
     run(r["predictions"])
     return r["metrics"]
 
@@ -78,7 +81,8 @@ def run(df):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cpus, shuffle_partitions=max(8, cpus))
+    spark = local_session(cpus, shuffle_partitions=max(8, cpus),
+                          checkpoint_dir=tempfile.mkdtemp(prefix="ordertide-bench-", dir="/tmp"))
     ckpt = ensure_checkpoint_dir(spark)
     # untimed warm-up: JVM class loading / JIT for scans, aggregation, shuffle
     spark.read.parquet(f"{sf_dir}/region.parquet").groupBy("r_name").count().collect()

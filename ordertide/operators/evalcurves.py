@@ -14,19 +14,20 @@ from ordertide.operators.ranking import global_rank
 
 
 def score_table(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Per distinct score (descending): tp, fp, cumulative tps/fps, rank."""
+    """Per distinct score (descending): tp, fp, cumulative tps/fps, rank, and
+    the totals p and n, from one pass over the rows."""
     g = (pred.groupBy(F.col(score).alias("threshold"))
          .agg(F.sum(F.col(label).cast("long")).alias("tp"),
               F.sum((1 - F.col(label)).cast("long")).alias("fp")))
-    r = global_rank(g, [("threshold", False)], sum_cols=["tp", "fp"], size_col="m")
+    r = global_rank(g, [("threshold", False)], sum_cols=["tp", "fp"], size_col="m", total_sums=True)
     return r.select("threshold", "tp", "fp", "rank", "m",
-                    F.col("cum_tp").cast("long").alias("tps"), F.col("cum_fp").cast("long").alias("fps"))
+                    F.col("cum_tp").cast("long").alias("tps"), F.col("cum_fp").cast("long").alias("fps"),
+                    F.col("total_tp").alias("p"), F.col("total_fp").alias("n"))
 
 
-def _totals(pred: DataFrame, label: str):
-    row = pred.agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    p = row["p"] or 0
-    return p, (row["n"] or 0) - p
+def _share(part, whole):
+    """part / whole as double, NaN when the whole is 0."""
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(float("nan")))
 
 
 def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
@@ -34,8 +35,7 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
     """(fpr, tpr, threshold) points, starting at (0, 0) with threshold +inf.
     With ``drop_intermediate``, points whose fps and tps both have zero second
     difference (interior of a straight run) are dropped; neighbours are
-    fetched by equi-joins on rank +- 1."""
-    p, n = _totals(pred, label)
+    fetched by equi-joins on rank +- 1. Without rows only the start is left."""
     st = score_table(pred, label, score)
     pts = st
     if drop_intermediate:
@@ -45,42 +45,36 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
         d2f = F.col("n_fps") - 2 * F.col("fps") + F.col("p_fps")
         d2t = F.col("n_tps") - 2 * F.col("tps") + F.col("p_tps")
         pts = j.where((F.col("rank") == 1) | (F.col("rank") == F.col("m")) | (d2f != 0) | (d2t != 0))
-    spark = pred.sparkSession
-    start = spark.createDataFrame([(0, 0, 0, float("inf"))], "rank int, tps long, fps long, threshold double")
-    pts = start.unionByName(pts.select(F.col("rank").cast("int"), "tps", "fps", "threshold"))
-    return pts.select("rank", (F.col("fps") / F.lit(float(n) if n else float("nan"))).alias("fpr"),
-                      (F.col("tps") / F.lit(float(p) if p else float("nan"))).alias("tpr"), "threshold")
+    start = pred.sparkSession.createDataFrame([(0, 0.0, 0.0, float("inf"))],
+                                              "rank long, fpr double, tpr double, threshold double")
+    return start.unionByName(pts.select(F.col("rank").cast("long").alias("rank"), _share(F.col("fps"), F.col("n")).alias("fpr"),
+                                        _share(F.col("tps"), F.col("p")).alias("tpr"), "threshold"))
 
 
 def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve by the trapezoid rule, summed per distinct
     score: fp_g * (tps_before + tps_after) / 2 / (P * N)."""
-    p, n = _totals(pred, label)
     st = score_table(pred, label, score)
     area = F.sum(F.col("fp").cast("double") * (2 * F.col("tps") - F.col("tp")).cast("double") / 2.0)
-    return st.agg((area / F.lit(float(p) * float(n) if p and n else float("nan"))).alias("roc_auc"))
+    return st.agg(_share(area, F.max("p") * F.max("n")).alias("roc_auc"))
 
 
 def pr_curve(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(recall, precision, threshold) per distinct score plus the final
     (recall 0, precision 1) point."""
-    p, _ = _totals(pred, label)
     st = score_table(pred, label, score)
-    pts = st.select(F.col("rank").cast("int"),
-                    (F.col("tps") / F.lit(float(p) if p else float("nan"))).alias("recall"),
+    pts = st.select(F.col("rank").cast("long").alias("rank"), _share(F.col("tps"), F.col("p")).alias("recall"),
                     F.try_divide(F.col("tps").cast("double"), (F.col("tps") + F.col("fps")).cast("double"))
                     .alias("precision"), "threshold")
     end = pred.sparkSession.createDataFrame([(0, 0.0, 1.0, None)],
-                                            "rank int, recall double, precision double, threshold double")
+                                            "rank long, recall double, precision double, threshold double")
     return pts.unionByName(end)
 
 
 def average_precision(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Sum over thresholds of (R_n - R_{n-1}) * P_n."""
-    p, _ = _totals(pred, label)
     st = score_table(pred, label, score)
-    term = F.col("tp").cast("double") / F.lit(float(p) if p else float("nan")) * (
-        F.col("tps").cast("double") / (F.col("tps") + F.col("fps")).cast("double"))
+    term = _share(F.col("tp"), F.col("p")) * (F.col("tps").cast("double") / (F.col("tps") + F.col("fps")).cast("double"))
     return st.agg(F.sum(term).alias("average_precision"))
 
 

@@ -25,15 +25,20 @@ from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, Vect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordertide.functions.numeric import finite_or_null
 from ordertide.operators.dist import exact_quantiles
+from ordertide.operators.joins import computed_once
 
+# The categorical and numeric feature columns of the two models.
 CAT_COLS = ["ship_mode", "segment", "region", "state", "category", "sub_category", "product_id"]
 REG_NUM_COLS = ["postal_code"]
 CLS_NUM_COLS = ["postal_code", "quantity", "discount", "profit"]
 
 
 def _stack(df: DataFrame, cols, cast: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast(cast).alias("value")) for c in cols])
+    # numbers that are NaN or infinite count as missing
+    as_value = (lambda c: finite_or_null(F.col(c).cast(cast))) if cast == "double" else (lambda c: F.col(c).cast(cast))
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), as_value(c).alias("value")) for c in cols])
     return df.select(F.explode(pairs).alias("p")).select("p.col", "p.value").where(F.col("value").isNotNull())
 
 
@@ -47,9 +52,9 @@ def mode_table(df: DataFrame, cols) -> DataFrame:
 
 
 def median_table(df: DataFrame, cols) -> DataFrame:
-    """(col, n, median): exact median (linear interpolation) per column."""
-    long = _stack(df, cols, "double").withColumn("_i", F.monotonically_increasing_id())
-    return exact_quantiles(long, "value", [0.5], group_cols=["col"], key=["_i"], names=["median"])
+    """(col, n, median): exact median (linear interpolation) of the finite
+    values of each column; a column without any has no row."""
+    return exact_quantiles(_stack(df, cols, "double"), "value", [0.5], group_cols=["col"], names=["median"])
 
 
 def scale_table(df: DataFrame, cols) -> DataFrame:
@@ -70,34 +75,29 @@ def feature_name_table(df: DataFrame, cat_cols, num_cols) -> DataFrame:
     pos = F.create_map(*[x for i, c in enumerate(cat_cols) for x in (F.lit(c), F.lit(i))])
     levels = _stack(df, cat_cols, "string").distinct().withColumn("ord", pos[F.col("col")])
     ranked = global_rank(levels, ["ord", "value"], size_col="_n")
-    cats = ranked.select((F.col("rank") - 1).cast("int").alias("idx"),
+    cats = ranked.select((F.col("rank") - 1).cast("long").alias("idx"),
                          F.concat(F.col("col"), F.lit("_"), F.col("value")).alias("name"))
     if not num_cols:
         return cats
     n_levels = F.coalesce(levels.agg(F.count(F.lit(1))).scalar(), F.lit(0))
     spark = df.sparkSession
     nums = spark.createDataFrame([(i, c) for i, c in enumerate(num_cols)], "j int, name string")
-    nums = nums.select((n_levels + F.col("j")).cast("int").alias("idx"), "name")
+    nums = nums.select((n_levels + F.col("j")).cast("long").alias("idx"), "name")
     return cats.unionByName(nums)
 
 
-def column_modes(df: DataFrame, cols) -> dict:
-    if not cols:
-        return {}
-    return {r["col"]: r["value"] for r in mode_table(df, cols).collect()}  # one row per column
-
-
 def column_medians(df: DataFrame, cols) -> dict:
     if not cols:
         return {}
     return {r["col"]: r["median"] for r in median_table(df, cols).collect()}  # one row per column
 
 
-def column_pop_std(df: DataFrame, cols) -> dict:
+def missing_columns(df: DataFrame, cols) -> list:
+    """The numeric columns with a value that is NULL, NaN or infinite (one pass)."""
     if not cols:
-        return {}
-    row = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+        return []
+    row = df.agg(*[F.count(F.when(finite_or_null(F.col(c).cast("double")).isNull(), F.lit(1))).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
 
 
 @dataclass
@@ -114,13 +114,13 @@ class FeatureModel:
     hash_features: int = 1 << 18
 
     def impute(self, df: DataFrame) -> DataFrame:
+        """Add the imputed columns (``_f_`` and the column's name); the columns
+        themselves, row keys among them, stay as they are."""
         fills = {}
         for c in self.cat_cols:
-            fills[c] = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c)))
+            fills[f"_f_{c}"] = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c)))
         for c in self.num_cols:
-            v = F.col(c).cast("double")
-            v = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
-            fills[c] = F.coalesce(v, F.lit(self.medians.get(c)).cast("double"))
+            fills[f"_f_{c}"] = F.coalesce(finite_or_null(F.col(c).cast("double")), F.lit(self.medians.get(c)).cast("double"))
         return df.withColumns(fills)
 
     def index(self, df: DataFrame) -> DataFrame:
@@ -129,21 +129,23 @@ class FeatureModel:
         return df
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """``df`` with the feature vector ``out``, all its own columns kept."""
         x = self.impute(df)
         parts = []
         if self.cat_cols and self.encoding == "hash":
-            x = FeatureHasher(inputCols=self.cat_cols, outputCol="_cat_hashed", numFeatures=self.hash_features,
-                              categoricalCols=self.cat_cols).transform(x)
+            cats = [f"_f_{c}" for c in self.cat_cols]
+            x = FeatureHasher(inputCols=cats, outputCol="_cat_hashed", numFeatures=self.hash_features,
+                              categoricalCols=cats).transform(x)
             parts.append("_cat_hashed")
         elif self.cat_cols:
             x = self.encoder.transform(self.index(x))
-            parts += [f"{c}_oh" for c in self.cat_cols]
-        x = x.withColumns({f"{c}_s": F.col(c) / F.lit(self.scales[c]) for c in self.num_cols})
-        parts += [f"{c}_s" for c in self.num_cols]
+            parts += [f"_oh_{c}" for c in self.cat_cols]
+        x = x.withColumns({f"_s_{c}": F.col(f"_f_{c}") / F.lit(self.scales[c]) for c in self.num_cols})
+        parts += [f"_s_{c}" for c in self.num_cols]
         x = VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(x)
         # drop the per-slot attribute metadata (one entry per level): every
         # later plan would carry it; names live in ``names`` / ``name_of``
-        return x.withColumn(out, F.col(out).alias(out, metadata={}))
+        return x.select(*[F.col(c) for c in df.columns if c != out], F.col(out).alias(out, metadata={}))
 
     @property
     def size(self) -> int:
@@ -159,9 +161,10 @@ class FeatureModel:
 
 
 def fit_features(train: DataFrame, cat_cols, num_cols, encoding: str = "onehot",
-                 hash_features: int = 1 << 18) -> FeatureModel:
+                 hash_features: int = 1 << 18, applied_to: DataFrame | None = None) -> FeatureModel | None:
     """Fit imputers, encoders and scales on ``train``; columns that are
-    absent are skipped (schema-adaptive, as the dashboards are).
+    absent or have no value are skipped (schema-adaptive, as the dashboards
+    are). None when no column is left.
 
     ``encoding='onehot'`` (default, as the dashboards) keeps one slot per
     seen level; its vocabulary is model state on the driver, which bounds it
@@ -169,45 +172,44 @@ def fit_features(train: DataFrame, cat_cols, num_cols, encoding: str = "onehot",
     with billions of levels: levels are hashed into ``hash_features`` slots
     (stateless, nothing collected), at the price of rare collisions.
 
-    One aggregation counts every (column, level) pair into a small cached
+    One aggregation counts every (column, level) pair into a small stored
     table. Modes come from it with a per-column min over (-count, level),
     and each column's alphabetical ``StringIndexer`` is fitted on that small
     table instead of another pass over the training rows. (Imputation only
-    fills NULLs with an existing level, so the level set is unchanged.)"""
+    fills NULLs with an existing level, so the level set is unchanged.)
+    Medians are selected only for columns that miss a value somewhere in
+    ``applied_to`` (all rows that the model will see; default ``train``)."""
     cat_cols = [c for c in cat_cols if c in train.columns]
     num_cols = [c for c in num_cols if c in train.columns]
     modes: dict[str, str] = {}
     indexers = []
-    if cat_cols and encoding == "hash":
-        best = (_stack(train, cat_cols, "string").groupBy("col", "value").count()
-                .groupBy("col").agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("value"))).alias("b")))
-        modes = {r["col"]: r["b"]["value"] for r in best.collect()}  # one row per column
-    elif cat_cols:
-        counts = _stack(train, cat_cols, "string").groupBy("col", "value").count().cache()
+    if cat_cols:
+        counts = computed_once(_stack(train, cat_cols, "string").groupBy("col", "value").count())
         best = counts.groupBy("col").agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("value"))).alias("b"))
         modes = {r["col"]: r["b"]["value"] for r in best.collect()}  # one row per column
-
-        def fit_one(c):
-            m = StringIndexer(inputCol="value", outputCol=f"{c}_ix", handleInvalid="keep",
-                              stringOrderType="alphabetAsc").fit(counts.where(F.col("col") == c))
-            return m.setInputCol(c)
-
-        with ThreadPoolExecutor(max_workers=8) as pool:
-            indexers = list(pool.map(fit_one, cat_cols))
-        counts.unpersist()
-    medians = column_medians(train, num_cols)
+        cat_cols = [c for c in cat_cols if c in modes]
+        if encoding == "onehot":
+            def fit_one(c):
+                m = StringIndexer(inputCol="value", outputCol=f"_ix_{c}", handleInvalid="keep",
+                                  stringOrderType="alphabetAsc").fit(counts.where(F.col("col") == c))
+                return m.setInputCol(f"_f_{c}")
+
+            with ThreadPoolExecutor(max_workers=8) as pool:
+                indexers = list(pool.map(fit_one, cat_cols))
+    if num_cols:
+        some = train.agg(*[F.count(finite_or_null(F.col(c).cast("double"))).alias(c) for c in num_cols]).first()
+        num_cols = [c for c in num_cols if some[c]]
+    if not cat_cols and not num_cols:
+        return None
+    medians = column_medians(train, missing_columns(applied_to if applied_to is not None else train, num_cols))
     fm = FeatureModel(cat_cols, num_cols, modes, medians, {}, encoding=encoding, hash_features=hash_features)
     imputed = fm.impute(train)
-    std = column_pop_std(imputed, num_cols)
-    fm.scales = {c: (s if s and s > 0 else 1.0) for c, s in std.items()}
-    names = []
+    if num_cols:
+        std = imputed.agg(*[F.stddev_pop(f"_f_{c}").alias(c) for c in num_cols]).first()
+        fm.scales = {c: (std[c] if std[c] and std[c] > 0 else 1.0) for c in num_cols}
+    fm.indexer = indexers
     if cat_cols and encoding == "onehot":
-        fm.indexer = indexers
-        fm.encoder = OneHotEncoder(inputCols=[f"{c}_ix" for c in cat_cols],
-                                   outputCols=[f"{c}_oh" for c in cat_cols],
+        fm.encoder = OneHotEncoder(inputCols=[f"_ix_{c}" for c in cat_cols], outputCols=[f"_oh_{c}" for c in cat_cols],
                                    dropLast=True).fit(fm.index(imputed))
-        for c, m in zip(cat_cols, indexers):
-            names += [f"{c}_{x}" for x in m.labels]
-    names += list(num_cols)
-    fm.names = names
+    fm.names = [f"{c}_{x}" for c, m in zip(cat_cols, indexers) for x in m.labels] + list(num_cols)
     return fm

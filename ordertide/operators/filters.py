@@ -83,8 +83,6 @@ def bounds(df: DataFrame, col: str = "order_date") -> tuple:
 # The one-page dashboards' relative presets (anchor = last
 # order day): today, last week = 6 days back, last month = 29 days back,
 # last quarter = 3 months, last 6 months, last 1/2/3 years, all time.
-DAY_PRESETS = ("custom", "today", "last_week", "last_month", "last_quarter", "last_6_months",
-               "last_year", "last_2_years", "last_3_years", "all_time")
 
 
 def resolve_preset(preset: str, min_ts, max_ts, current: tuple | None = None):
@@ -179,18 +177,18 @@ def filter_calendar(df: DataFrame, year=None, quarter=None, month=None,
 def time_predicate(df: DataFrame, year=None, quarter=None, month=None, preset=None,
                    max_ts=None, col: str = "order_date"):
     """The preset + calendar part of ``apply_filters`` as one Column (or None
-    when nothing filters). ``max_ts`` defaults to the max over ``df``."""
+    when nothing filters). A preset needs ``max_ts``, the last date of the
+    unfiltered table: ``df`` may be filtered already."""
     c = F.col(col)
     preds = []
     if preset in TRAILING_PRESETS:
         if max_ts is None:
-            max_ts = bounds(df, col)[1]
-        if max_ts is not None:
-            start = trailing_start(preset, max_ts)
-            preds.append((c >= D.ts_literal(start)) & (c <= D.ts_literal(max_ts)))
-            prune = _year_prune(df, start, max_ts, col)
-            if prune is not None:
-                preds.append(prune)
+            raise ValueError("a preset needs max_ts, the last date of the unfiltered table")
+        start = trailing_start(preset, max_ts)
+        preds.append((c >= D.ts_literal(start)) & (c <= D.ts_literal(max_ts)))
+        prune = _year_prune(df, start, max_ts, col)
+        if prune is not None:
+            preds.append(prune)
     if not _off(year):
         y = int(year)
         preds.append((c >= D.ts_literal(dt.datetime(y, 1, 1)))
@@ -213,6 +211,9 @@ def time_predicate(df: DataFrame, year=None, quarter=None, month=None, preset=No
 def apply_filters(df: DataFrame, year=None, quarter=None, month=None, preset=None,
                   regions=None, categories=None, segments=None, max_ts=None) -> DataFrame:
     """Trailing preset (max over the unfiltered input) -> calendar -> dims."""
+    if preset in TRAILING_PRESETS and max_ts is None:
+        max_ts = bounds(df)[1]
+        preset = preset if max_ts is not None else None  # no date at all
     pred = time_predicate(df, year, quarter, month, preset, max_ts)
     out = df if pred is None else df.where(pred)
     return filter_in_dims(out, regions, categories, segments)

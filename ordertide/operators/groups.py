@@ -9,10 +9,10 @@ partition keeps its k best, no global sort. Ties are broken by the key.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordertide.operators.joins import computed_once
 from ordertide.operators.kpis import distinct_count, money_sum
 
 
@@ -50,9 +50,8 @@ def share(result: DataFrame, value: str = "sales", name: str = "share") -> DataF
     """value / total of ``value`` over the rows of ``result`` (an aggregated
     result with an exact decimal ``value``). The total is a scalar subquery,
     summed exactly before the division; no single-partition window."""
-    # the aggregated result is read twice (rows and total): persist it so the
-    # scan and aggregation behind it run once
-    result = result.persist(StorageLevel.MEMORY_AND_DISK)
+    # the aggregated result is read twice (rows and total)
+    result = computed_once(result)
     total = result.agg(F.sum(value).cast("double")).scalar()
     return result.select(*[c for c in result.columns if c != value],
                          F.col(value).cast("double").alias(value),
@@ -161,7 +160,7 @@ def group_features(df: DataFrame, keys=("region", "category"), distinct: str = "
         aggs.append(money_sum("profit").alias("profit"))
     if "discount" in cols:
         # exact decimal sum / count, so the mean is independent of partitioning
-        aggs.append((F.sum(F.col("discount").cast("decimal(4,2)")).cast("double")
+        aggs.append((F.sum(F.col("discount").cast("decimal(28,12)")).cast("double")
                      / F.count("discount")).alias("discount"))
     if "quantity" in cols:
         aggs.append(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"))

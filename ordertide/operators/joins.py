@@ -1,31 +1,38 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Small tables that several plans read."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest small side we broadcast after counting it. A per-group table of
-# this many rows is a few MB; beyond it the join stays a shuffle join and
-# AQE (runtime sizes, skew-join splitting) decides.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(small)`` when it has at most ``max_rows`` rows, else
-    ``small`` for a shuffle join. The table is persisted before it is
-    counted, so the check materialises it once and the join reuses it
-    (its lineage is usually an aggregate over all rows). Persisted blocks
-    lost with an executor are recomputed from lineage."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a per-group table back onto row-level data: broadcast when the
-    table is proven small, otherwise a shuffle join (where a hot key is split
-    by AQE's skew-join handling)."""
-    return big.join(broadcast_if_small(small, max_rows), on, how)
+from ordertide.session import reliable_checkpoint
+
+#: Largest table that gets a broadcast hint, in bytes of its values.
+BROADCAST_MAX_BYTES = 16 << 20
+
+
+def computed_once(small: DataFrame) -> DataFrame:
+    """An aggregate or narrow table that later plans read more than once,
+    computed now and kept on the shared checkpoint folder: nothing stays in
+    executors' memory, and lost executors cost no second pass over the data.
+    Its files go with the DataFrame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    return reliable_checkpoint(small)
+
+
+def broadcast_if_small(stored: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``stored`` (of ``computed_once``) with a broadcast hint if its values,
+    counted, take at most ``max_bytes``; else as it is, and the planner and AQE
+    choose a shuffle join and split skewed keys."""
+    texts = [c for c, t in stored.dtypes if t in ("string", "binary")]
+    size = F.count(F.lit(1)) * (8 * len(stored.columns))
+    for c in texts:
+        size = size + F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0))
+    return F.broadcast(stored) if stored.agg(size.alias("bytes")).first()["bytes"] <= max_bytes else stored
+
+
+def join_small(big: DataFrame, stored: DataFrame, on, how: str = "inner",
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join a stored per-group table onto row-level data, broadcast behind the
+    size check."""
+    return big.join(broadcast_if_small(stored, max_bytes), on, how)

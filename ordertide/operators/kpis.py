@@ -50,16 +50,24 @@ def _yoy(ytd: Column, lytd: Column) -> Column:
     return F.when(lytd != 0, (ytd - lytd) / lytd)
 
 
+def year_windows(end: dt.datetime, bound=lambda d: d):
+    """(ytd_start, ytd_end, ly_start, ly_end): the year up to ``end`` and the
+    same stretch a year before, each limit passed through ``bound``."""
+    end = bound(end)
+    ly_end = bound(D.add_years(end, -1))
+    return bound(dt.datetime(end.year, 1, 1)), end, bound(dt.datetime(ly_end.year, 1, 1)), ly_end
+
+
 def ytd_windows_clamped(end_date, min_ts, max_ts):
-    """(ytd_start, ytd_end, ly_start, ly_end), every bound clamped into the
-    data's [first day, last day] -- so when last year precedes the data both
-    last-year bounds collapse onto the first day."""
+    """``year_windows`` with every limit clamped into the data's [first day,
+    last day] -- so when last year precedes the data both last-year limits
+    collapse onto the first day."""
     lo, hi = D.midnight(min_ts), D.midnight(max_ts)
-    end = D.clamp(D.to_datetime(end_date), lo, hi)
-    ytd_start = D.clamp(dt.datetime(end.year, 1, 1), lo, hi)
-    ly_end = D.clamp(D.add_years(end, -1), lo, hi)
-    ly_start = D.clamp(dt.datetime(ly_end.year, 1, 1), lo, hi)
-    return ytd_start, end, ly_start, ly_end
+    return year_windows(D.to_datetime(end_date), lambda d: D.clamp(d, lo, hi))
+
+
+def _within(col: str, lo, hi) -> Column:
+    return (F.col(col) >= D.ts_literal(lo)) & (F.col(col) <= D.ts_literal(hi))
 
 
 def ytd_metrics_clamped(dims_df: DataFrame, end_date, data_bounds: tuple,
@@ -68,10 +76,8 @@ def ytd_metrics_clamped(dims_df: DataFrame, end_date, data_bounds: tuple,
     applied). ``data_bounds`` are (min, max) of the *full* table. Bounds are
     inclusive at timestamp precision against midnight instants."""
     ytd_start, end, ly_start, ly_end = ytd_windows_clamped(end_date, *data_bounds)
-    c = F.col(col)
-    in_ytd = (c >= D.ts_literal(ytd_start)) & (c <= D.ts_literal(end))
-    in_lytd = (c >= D.ts_literal(ly_start)) & (c <= D.ts_literal(ly_end))
-    agg = (dims_df.where((c >= D.ts_literal(ly_start)) & (c <= D.ts_literal(end)))
+    in_ytd, in_lytd = _within(col, ytd_start, end), _within(col, ly_start, ly_end)
+    agg = (dims_df.where(_within(col, ly_start, end))
            .agg(money_sum(F.when(in_ytd, F.col("sales"))).alias("ytd_sales"),
                 money_sum(F.when(in_lytd, F.col("sales"))).alias("lytd_sales")))
     return agg.select("ytd_sales", "lytd_sales",
@@ -81,14 +87,15 @@ def ytd_metrics_clamped(dims_df: DataFrame, end_date, data_bounds: tuple,
 
 def ytd_metrics_anchored(base_df: DataFrame, time_pred: Column | None = None,
                          col: str = "order_date", distinct: str = "exact") -> DataFrame:
-    """KPIs of the six-tab dashboard in one pass over ``base_df`` (the
-    dimension-filtered rows). The filtered set is ``base_df`` where
+    """KPIs of the six-tab dashboard over ``base_df`` (the dimension-filtered
+    rows): one pass for the anchor date, one for the sums, which reads only
+    dates that some sum uses. The filtered set is ``base_df`` where
     ``time_pred`` holds; totals and distinct counts come from it, YTD/LYTD
     come from all of ``base_df``, anchored at the filtered set's max date
     (else the base's max). No date at all -> zeros and NULL YoY."""
     pred = F.lit(True) if time_pred is None else time_pred
     c = F.col(col)
-    anchor = base_df.where(pred).agg(F.max(c)).first()[0]
+    first, anchor = bounds(base_df.where(pred), col)
     if anchor is None:
         anchor = bounds(base_df, col)[1]
     if anchor is None:
@@ -96,12 +103,11 @@ def ytd_metrics_anchored(base_df: DataFrame, time_pred: Column | None = None,
             [(0.0, 0, 0, 0.0, 0.0, None, None)],
             "total_sales double, customer_count long, order_count long, ytd_sales double, "
             "lytd_sales double, yoy_pct double, anchor_date timestamp_ntz")
-    ytd_start = dt.datetime(anchor.year, 1, 1)
-    ly_anchor = D.add_years(anchor, -1)
-    ly_start = dt.datetime(ly_anchor.year, 1, 1)
-    in_ytd = (c >= D.ts_literal(ytd_start)) & (c <= D.ts_literal(anchor))
-    in_lytd = (c >= D.ts_literal(ly_start)) & (c <= D.ts_literal(ly_anchor))
-    agg = base_df.agg(
+    ytd_start, end, ly_start, ly_end = year_windows(anchor)
+    in_ytd, in_lytd = _within(col, ytd_start, end), _within(col, ly_start, ly_end)
+    # no sum reads beyond the anchor or before the earliest of the windows: a range that reaches the scan
+    read = base_df if time_pred is None else base_df.where(_within(col, min(ly_start, first or ly_start), anchor))
+    agg = read.agg(
         money_sum(F.when(pred, F.col("sales"))).alias("total_sales"),
         distinct_count(F.when(pred, F.col("customer_id")), distinct).alias("customer_count"),
         distinct_count(F.when(pred, F.col("order_id")), distinct).alias("order_count"),

@@ -26,11 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordertide.operators.joins import join_small
 from ordertide.session import reliable_checkpoint
 
-_BASE = 1 << 33
-LOCAL_SUMS = "pandas"  # monotonically_increasing_id puts the partition id above bit 33
+_BASE = 1 << 33  # monotonically_increasing_id puts the partition id above bit 33
 
 
 def _order_cols(order) -> list[Column]:
@@ -69,7 +67,7 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
     (restarting per ``group_cols``) and ``cum_<c>`` = inclusive running sum
     of each ``sum_cols`` column in that order; optionally ``size_col`` = the
     group's row count and (``total_sums``) ``total_<c>`` = the group's sum. ``order`` must be a total order (end it with a unique
-    key) for ranks to be reproducible."""
+    key) for ranks to be reproducible. NULL group keys form a group of their own."""
     group_cols, sum_cols = list(group_cols), list(sum_cols)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + _order_cols(order)
     # Without an explicit count, AQE may merge adjacent ranges to the data
@@ -79,13 +77,9 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
     r = (ranged.sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_li", F.monotonically_increasing_id() - F.col("_pid").cast("long") * F.lit(_BASE)))
-    if sum_cols and LOCAL_SUMS == "pandas":
+    if sum_cols:
         schema = T.StructType(r.schema.fields + [T.StructField(f"_lc_{c}", T.DoubleType()) for c in sum_cols])
         r = r.mapInPandas(_local_cumsum(sum_cols), schema)
-    elif sum_cols:
-        run = Window.partitionBy("_pid").orderBy("_li").rowsBetween(Window.unboundedPreceding, 0)
-        r = r.withColumns({f"_lc_{c}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(run)
-                           for c in sum_cols})
     if checkpoint:
         r = reliable_checkpoint(r)
 
@@ -106,11 +100,13 @@ def global_rank(df: DataFrame, order, group_cols=(), sum_cols=(), num_partitions
         offs.append(F.sum("_cnt").over(whole).alias(size_col))
     if total_sums:
         offs += [F.sum(f"_tot_{c}").over(whole).alias(f"total_{c}") for c in sum_cols]
-    st = st.select("_pid", *group_cols, "_first", *[f"_base_{c}" for c in sum_cols], *offs)
+    st = st.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group_cols], "_first", *[f"_base_{c}" for c in sum_cols], *offs)
     if not group_cols:
-        out = r.join(F.broadcast(st), ["_pid"])  # one row per range partition: bounded by N
-    else:
-        out = join_small(r, st, ["_pid", *group_cols])  # <= N + #groups rows, size-checked
+        st = F.broadcast(st)  # one row per range partition: bounded by N
+    same = F.col("_pid") == F.col("_p")
+    for g in group_cols:  # NULL is a group like any other
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    out = r.join(st, same)
     cols = [c for c in df.columns]
     extra = [(F.col("_off") + F.col("_li") - F.col("_first") + 1).alias(rank_col)]
     for c in sum_cols:

@@ -3,8 +3,8 @@
 These operate on the *monthly series* -- one row per calendar month present
 -- which is bounded by the calendar span, not by the data volume. The
 ordered index over that short series is a ``row_number`` window; all fitting
-is done from aggregate sufficient statistics (sums of products), so the fit
-itself is one aggregate pass and stays JVM-side, with the 3x3 ridge solve
+is done from aggregates of products of deviations, and the band comes from the
+residuals themselves; everything stays JVM-side, with the 3x3 ridge solve
 written as Column arithmetic (Cramer's rule): nothing is collected.
 """
 
@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.functions import dates as D
+from ordertide.operators.joins import computed_once
 from ordertide.operators.kpis import money_sum
 
 
@@ -32,7 +32,7 @@ def trend_by_index(monthly: DataFrame, x: str = "order_month", y: str = "sales")
     whole = Window.partitionBy()
     slope = F.regr_slope(F.col(y), F.col("month_index").cast("double")).over(whole)
     icpt = F.regr_intercept(F.col(y), F.col("month_index").cast("double")).over(whole)
-    return idx.withColumn("trend", F.round(slope * F.col("month_index") + icpt, 2))
+    return idx.withColumn("trend", slope * F.col("month_index") + icpt)
 
 
 def trend_by_date(series: DataFrame, x: str = "ds", y: str = "y") -> DataFrame:
@@ -44,7 +44,7 @@ def trend_by_date(series: DataFrame, x: str = "ds", y: str = "y") -> DataFrame:
     whole = Window.partitionBy()
     slope = F.regr_slope(F.when(ok, yv), ordv).over(whole)
     icpt = F.regr_intercept(F.when(ok, yv), ordv).over(whole)
-    return series.withColumn("trend", F.round(slope * ordv + icpt, 2))
+    return series.withColumn("trend", slope * ordv + icpt)
 
 
 def monthly_series(df: DataFrame, date_col: str = "order_date") -> DataFrame:
@@ -103,60 +103,40 @@ def forecast_monthly(df: DataFrame, horizon: int = FORECAST_HORIZON, alpha: floa
     """
     hist = monthly_series(df, date_col)
     hist = hist.withColumn("t", (F.row_number().over(_series_window("ds")) - 1).cast("double"))
-    # the series (one row per month) feeds both the history rows and the fit;
-    # persisting it keeps the fact scan + aggregation to one pass
-    hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-    x = seasonal_terms(F.col("t"))
+    # one row per month, read by the history rows, the fit and its residuals
+    hist = computed_once(hist)
     names = ["x0", "x1", "x2"]
-    hx = hist.select("ds", "y", "t", *[c.alias(n) for c, n in zip(x, names)])
-
-    sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"),
-            F.sum(F.col("y") * F.col("y")).alias("syy"), F.max("ds").alias("last_ds")]
-    for i in range(3):
-        sums.append(F.sum(names[i]).alias(f"s{i}"))
-        sums.append(F.sum(F.col(names[i]) * F.col("y")).alias(f"s{i}y"))
-        for j in range(i, 3):
-            sums.append(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}"))
-    st = hx.agg(*sums)
-
-    n, sy = F.col("n"), F.col("sy")
-
-    def sxx(i, j):
-        a, b = min(i, j), max(i, j)
-        return F.col(f"s{a}{b}")
-
-    m = [[sxx(i, j) - F.col(f"s{i}") * F.col(f"s{j}") / n + (F.lit(alpha) if i == j else F.lit(0.0))
-          for j in range(3)] for i in range(3)]
-    v = [F.col(f"s{i}y") - F.col(f"s{i}") * sy / n for i in range(3)]
-    beta = solve3(m, v)
-    b0 = sy / n - sum((beta[i] * F.col(f"s{i}") / n for i in range(3)), F.lit(0.0))
-    coef = st.select("n", "last_ds", "sy", "syy", *[F.col(f"s{i}") for i in range(3)],
-                     *[F.col(f"s{i}y") for i in range(3)],
-                     *[sxx(i, j).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)],
-                     b0.alias("b0"), *[b.alias(f"b{i + 1}") for i, b in enumerate(beta)])
-    # residual sum of squares from the sufficient statistics
-    b = [F.col("b1"), F.col("b2"), F.col("b3")]
-    rss = (F.col("syy") - 2 * F.col("b0") * F.col("sy")
-           - 2 * sum((b[i] * F.col(f"s{i}y") for i in range(3)), F.lit(0.0))
-           + n * F.col("b0") * F.col("b0")
-           + 2 * F.col("b0") * sum((b[i] * F.col(f"s{i}") for i in range(3)), F.lit(0.0))
-           + sum((b[i] * b[j] * sxx(i, j) for i in range(3) for j in range(3)), F.lit(0.0)))
-    sigma = F.when(n > 1, F.sqrt(F.greatest(rss, F.lit(0.0)) / (n - 1))).otherwise(F.lit(0.0))
-    coef = coef.select("n", "last_ds", "b0", "b1", "b2", "b3", sigma.alias("sigma"))
-    coef = coef.where(F.col("n") >= min_months)
-
+    hx = hist.select("ds", "y", "t", *[c.alias(n) for c, n in zip(seasonal_terms(F.col("t")), names)])
+    # centred first: products of deviations keep their digits at any level of y
+    every = Window.partitionBy()
+    centred = hx.select((F.col("y") - F.avg("y").over(every)).alias("dy"), F.avg("y").over(every).alias("my"), "ds",
+                        *[(F.col(n) - F.avg(n).over(every)).alias(f"d{i}") for i, n in enumerate(names)],
+                        *[F.avg(n).over(every).alias(f"m{i}") for i, n in enumerate(names)])
+    products = centred.agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("ds").alias("last_ds"),
+                           *[F.max(c).alias(c) for c in ("my", "m0", "m1", "m2")],  # the same in every row
+                           *[F.sum(F.col(f"d{i}") * F.col("dy")).alias(f"v{i}") for i in range(3)],
+                           *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}{j}")
+                             for i in range(3) for j in range(i, 3)])
+    m = [[F.col(f"s{min(i, j)}{max(i, j)}") + F.lit(alpha if i == j else 0.0) for j in range(3)] for i in range(3)]
+    beta = solve3(m, [F.col(f"v{i}") for i in range(3)])
+    coef = products.where(F.col("n") >= min_months).select(
+        "n", "last_ds", "my", "m0", "m1", "m2", *[b.alias(f"b{i}") for i, b in enumerate(beta)])
+    coef = computed_once(coef)
+
+    def fitted(c, x: list[Column]) -> Column:
+        return c("my") + sum((c(f"b{i}") * (x[i] - c(f"m{i}")) for i in range(3)), F.lit(0.0))
+
+    one = coef.select(F.struct("*").alias("c")).scalar()
+    residual = hx.select((F.col("y") - fitted(lambda k: one[k], [F.col(n) for n in names])).alias("e"))
+    sigma = F.coalesce(residual.agg(F.stddev_samp("e")).scalar(), F.lit(0.0))
     steps = coef.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    tf = F.col("n") - 1 + F.col("step")
-    xf = seasonal_terms(tf)
-    yhat = F.col("b0") + F.col("b1") * xf[0] + F.col("b2") * xf[1] + F.col("b3") * xf[2]
-    band = F.when(F.col("sigma") > 0, F.lit(BAND_Z) * F.col("sigma")).otherwise(F.lit(0.0))
+    yhat = fitted(F.col, seasonal_terms(F.col("n") - 1 + F.col("step")))
+    band = F.lit(BAND_Z) * sigma
     fc = steps.select(
         F.lit("forecast").alias("kind"),
         F.add_months(F.col("last_ds").cast("date"), F.col("step")).cast("timestamp_ntz").alias("ds"),
-        F.lit(None).cast("double").alias("y"),
-        F.round(yhat, 2).alias("yhat"),
-        F.round(yhat + band, 2).alias("yhat_upper"),
-        F.round(yhat - band, 2).alias("yhat_lower"))
+        F.lit(None).cast("double").alias("y"), yhat.alias("yhat"), (yhat + band).alias("yhat_upper"),
+        (yhat - band).alias("yhat_lower"))
     history = hist.select(F.lit("history").alias("kind"), "ds", "y",
                           *[F.lit(None).cast("double").alias(c)
                             for c in ("yhat", "yhat_upper", "yhat_lower")])

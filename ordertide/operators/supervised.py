@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordertide.functions.numeric import is_finite
-from ordertide.operators.dist import exact_quantiles
+from ordertide.operators.dist import exact_quantiles, order_statistics
 from ordertide.operators.features import CAT_COLS, CLS_NUM_COLS, REG_NUM_COLS, fit_features
-from ordertide.operators.ranking import global_rank
+from ordertide.operators.joins import computed_once, join_small
 from ordertide.session import reliable_checkpoint
 
 NORMAL_SOLVER_MAX_FEATURES = 4096  # Spark's normal-equation solver limit
@@ -33,6 +33,8 @@ HIGH_VALUE_Q = 0.75
 CLS_MIN_ROWS, CLS_MIN_PER_CLASS, CLS_TEST_FRAC = 40, 8, 0.25
 REG_MIN_ROWS, REG_TEST_FRAC, RIDGE_ALPHA = 200, 0.2, 1.0
 FOREST_TREES, FOREST_MIN_LEAF = 250, 2
+FOREST_DEPTH = 30         # Spark's own limit
+FOREST_MEMORY_MB = 1024   # node statistics of one training pass: more nodes a pass, fewer passes
 TOP_IMPORTANCES = 20
 
 
@@ -60,12 +62,16 @@ def split_random(df: DataFrame, test_frac: float, key_cols, seed: int = 0, col:
 
 def split_stratified(df: DataFrame, label: str, test_frac: float, key_cols, seed: int = 0,
                      col: str = "is_test") -> DataFrame:
-    """Exactly ceil(test_frac * n_c) rows of each class c go to test: the
-    rows with the smallest hash within the class (grouped distributed rank)."""
+    """ceil(test_frac * n_c) rows of each class c go to test: those with the
+    smallest hash. The class's last such hash is selected from the narrow
+    (label, hash) table, so the rows themselves are neither sorted nor
+    written; rows that share that very hash (repeated keys) go together."""
     u = df.withColumn("_u", hash_uniform(key_cols, seed, df))
-    r = global_rank(u, ["_u", *key_cols], group_cols=[label], size_col="_nc")
-    n_test = F.ceil(F.lit(test_frac) * F.col("_nc"))
-    return r.withColumn(col, F.col("rank") <= n_test).drop("_u", "rank", "_nc")
+    last = F.array(F.struct(F.lit(0).alias("want"), (F.ceil(F.lit(test_frac) * F.col("n")) - 1).cast("long").alias("k")))
+    cuts = order_statistics(computed_once(u.select(label, "_u")), "_u", [label], last)
+    cuts = computed_once(cuts.select(F.col(label).alias("_class"), F.col("value").alias("_cut")))
+    return join_small(u, cuts, F.col(label).eqNullSafe(F.col("_class"))).withColumn(
+        col, F.col("_u") <= F.col("_cut")).drop("_u", "_class", "_cut")
 
 
 def finite_label_rows(df: DataFrame, label: str = "sales") -> DataFrame:
@@ -96,34 +102,47 @@ def _top20(spark, fm, values, by_abs: bool, kind: str) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, feature string, value double").withColumn("type", F.lit(kind))
 
 
+def linear_solver(size: int) -> str:
+    """Normal equations while Spark's solver takes the features, else l-bfgs.
+    Both minimise the same loss (tests compare them)."""
+    return "normal" if size <= NORMAL_SOLVER_MAX_FEATURES else "l-bfgs"
+
+
 def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_TEST_FRAC, seed: int = 0,
-                   key_cols=None, label: str = "sales", num_trees: int = FOREST_TREES, max_depth: int = 30,
-                   min_rows: int = REG_MIN_ROWS, encoding: str = "onehot") -> dict:
-    """Fit sales on the categorical + postal-code features.
+                   key_cols=None, label: str = "sales", num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
+                   min_rows: int = REG_MIN_ROWS, encoding: str = "onehot", features=None, solver: str | None = None) -> dict:
+    """Fit sales on the categorical + postal-code features (or those of them
+    in ``features``).
 
     model: 'linear' (OLS), 'ridge' (alpha 1) or 'forest' (random forest,
-    250 trees, min leaf 2, all features per split; depth capped at Spark's
-    30). Returns {'error'} or {'metrics', 'predictions', 'importances'}."""
+    250 trees, min leaf 2, all features per split; the depth is unlimited up
+    to Spark's own limit of 30). Returns {'metrics', 'predictions',
+    'importances', 'feature_names'}, or {'error'} with a reason code and its
+    numbers. Predictions carry the key columns as they are in ``df``."""
     from ordertide.sources.sales import ROW_KEY
     key_cols = list(key_cols or ROW_KEY)
     spark = df.sparkSession
     data = finite_label_rows(df, label)
-    feats = [c for c in [*CAT_COLS, *REG_NUM_COLS] if c in data.columns]
+    feats = [c for c in [*CAT_COLS, *REG_NUM_COLS] if c in data.columns and (features is None or c in features)]
     data = data.select(*key_cols, *[c for c in feats if c not in key_cols],
                        F.col(label).cast("double").alias("label"))
     # the split table is written once; the row count and every later pass read it
     split = reliable_checkpoint(split_random(data, test_frac, key_cols, seed))
     n = split.count()
     if n < min_rows:
-        return {"error": f"Not enough rows to train reliably (found {n}). Broaden filters."}
+        return {"error": "too_few_rows", "rows": n, "needed": min_rows}
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    fm = fit_features(train, CAT_COLS, REG_NUM_COLS, encoding)
+    fm = fit_features(train, [c for c in CAT_COLS if c in feats], [c for c in REG_NUM_COLS if c in feats], encoding,
+                      applied_to=split)
+    if fm is None:
+        return {"error": "no_features", "rows": n}
     tr = fm.transform(train).select(*key_cols, "features", "label")
     te = fm.transform(test).select(*key_cols, "features", "label")
     if model in ("linear", "ridge"):
-        solver = "normal" if fm.size <= NORMAL_SOLVER_MAX_FEATURES else "l-bfgs"
+        solver = solver or linear_solver(fm.size)
         reg = 0.0
         if model == "ridge":
+            # the solvers scale the penalty by the label's deviation, each by its own
             st = train.agg(F.count(F.lit(1)).alias("n"),
                            (F.stddev_pop("label") if solver == "normal" else F.stddev_samp("label")).alias("sd")).first()
             reg = RIDGE_ALPHA * (st["sd"] or 0.0) / st["n"]
@@ -131,9 +150,9 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
                                standardization=False, solver=solver, maxIter=1000, tol=1e-6)
     elif model == "forest":
         est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                    maxDepth=min(max_depth, 30), minInstancesPerNode=FOREST_MIN_LEAF,
-                                    featureSubsetStrategy="all", seed=seed, maxBins=32,
-                                    subsamplingRate=1.0, bootstrap=True)
+                                    maxDepth=min(max_depth, FOREST_DEPTH), minInstancesPerNode=FOREST_MIN_LEAF,
+                                    featureSubsetStrategy="all", seed=seed, maxBins=32, subsamplingRate=1.0,
+                                    bootstrap=True, maxMemoryInMB=FOREST_MEMORY_MB, cacheNodeIds=True)
     else:
         raise ValueError(f"unknown model {model!r}")
     fitted = est.fit(tr)
@@ -144,8 +163,9 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
         imp = _top20(spark, fm, fitted.featureImportances.toArray(), False, "rf")
     else:
         imp = _top20(spark, fm, fitted.coefficients.toArray(), True, "linear")
-    metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).alias("rows"), "*")
-    return {"metrics": metrics, "predictions": pred, "importances": imp, "feature_names": fm.names}
+    metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).cast("long").alias("rows"), "*")
+    names = spark.createDataFrame([(i, c) for i, c in enumerate([*fm.cat_cols, *fm.num_cols])], "position int, column string")
+    return {"metrics": metrics, "predictions": pred, "importances": imp, "features": names, "feature_names": fm.names}
 
 
 def ideal_line(pred: DataFrame) -> DataFrame:
@@ -158,9 +178,8 @@ def ideal_line(pred: DataFrame) -> DataFrame:
 def high_value_labels(df: DataFrame, key_cols, cutoff_p: float = HIGH_VALUE_Q, value: str = "sales"):
     """(rows with label = value >= the exact p-quantile, cutoff)."""
     v = finite_label_rows(df, value)
-    q = exact_quantiles(v.select(*key_cols, F.col(value).cast("double").alias("_v")), "_v", [cutoff_p],
-                        key=key_cols, names=["cut"]).first()
-    cut = q["cut"]
+    q = exact_quantiles(v.select(F.col(value).cast("double").alias("_v")), "_v", [cutoff_p], names=["cut"]).first()
+    cut = q["cut"] if q else None  # no row, no cut-off
     return v.withColumn("label", (F.col(value).cast("double") >= F.lit(cut)).cast("int")), cut
 
 
@@ -181,21 +200,23 @@ def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = CLS_TEST_FRA
     data = reliable_checkpoint(data)  # the star join runs once for every pass below
     n = data.count()
     if n < min_rows:
-        return {"error": f"Need at least {min_rows} rows for classification diagnostics (found {n})."}
+        return {"error": "too_few_rows", "rows": n, "needed": min_rows}
     labeled, cut = high_value_labels(data, key_cols)
     counts = {r["label"]: r["count"] for r in labeled.groupBy("label").count().collect()}  # <= 2 rows
     if len(counts) < 2 or min(counts.values()) < min_per_class:
-        return {"error": "Not enough class balance after thresholding to compute classification charts."}
+        return {"error": "unbalanced_classes", "rows": n, "smallest": min(counts.values()) if len(counts) > 1 else 0,
+                "needed": min_per_class}
     pos_rate = counts.get(1, 0) / n
     base = labeled.select(*key_cols, *[c for c in feats if c not in key_cols], "label")
-    # written once: every later pass (counts, features, fit, predictions)
-    # reads the narrow split table instead of re-joining the ranked rows
-    split = reliable_checkpoint(split_stratified(base, "label", test_frac, key_cols, seed))
+    # a filter over the written rows: one hash cut per class
+    split = split_stratified(base, "label", test_frac, key_cols, seed)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     tc = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     n_train = sum(tc.values())
     weights = {k: n_train / (2.0 * v) for k, v in tc.items()}
-    fm = fit_features(train, CAT_COLS, CLS_NUM_COLS, encoding)
+    fm = fit_features(train, CAT_COLS, CLS_NUM_COLS, encoding, applied_to=data)
+    if fm is None:
+        return {"error": "no_features", "rows": n}
     wcol = F.when(F.col("label") == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
     tr = fm.transform(train).select("features", F.col("label").cast("double").alias("label"), wcol.alias("w"))
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1.0 / n_train,
@@ -205,19 +226,11 @@ def fit_classifier(df: DataFrame, key_cols=None, test_frac: float = CLS_TEST_FRA
     pred = (model.transform(fm.transform(test))
             .select(*key_cols, F.col("label").cast("int").alias("label"),
                     vector_to_array("probability")[1].alias("score")))
-    pred = pred.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    # scored once, read by the matrix and the curves
+    pred = computed_once(pred.withColumn("pred", (F.col("score") >= 0.5).cast("int")))
     spark = df.sparkSession
     summary = spark.createDataFrame(
         [(float(cut), float(pos_rate), int(n), int(n_train))],
         "threshold double, positive_rate double, rows long, train_rows long")
     return {"summary": summary, "predictions": pred, "model": model, "feature_names": fm.names,
             "threshold": cut}
-
-
-def logistic_objective(w: np.ndarray, b: float, X: np.ndarray, y: np.ndarray, sw: np.ndarray, C: float = 1.0) -> float:
-    """Reference objective C * sum sw*logloss + 0.5*||w||^2 (for tests)."""
-    z = X @ w + b
-    ll = np.logaddexp(0, z) - y * z
-    return C * float(np.sum(sw * ll)) + 0.5 * float(w @ w)
-
-

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -27,40 +26,38 @@ _BASE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "ordertide") -> SparkSession:
-    """A local-mode session for tests and the bench."""
+                  app_name: str = "ordertide", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local-mode session for tests and the bench. ``checkpoint_dir``: where
+    it keeps intermediate tables, if ``spark.checkpoint.dir`` names nothing."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
     for k, v in _BASE_CONF.items():
         builder = builder.config(k, v)
+    memory_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 31  # half of the machine's
     builder = (builder
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("ORDERTIDE_DRIVER_MEM", "16g")))
+               .config("spark.driver.memory", os.environ.get("ORDERTIDE_DRIVER_MEM", f"{max(1, min(16, memory_gb))}g")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if checkpoint_dir and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, taken from ``spark.checkpoint.dir``.
-
-    On a cluster the folder must be shared storage named by the cluster
-    config; we never invent one there. Only a local-mode session without the
-    setting (tests) gets a fresh scratch folder.
-    """
+    """The folder for checkpoints and written intermediate tables, taken from
+    ``spark.checkpoint.dir`` (or set on the context by whoever made the
+    session). On a cluster it must be storage that all executors share; none
+    is ever invented here."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not conf_dir:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; set it to a shared folder "
             "(HDFS/S3/ABFS) so checkpoints survive executor loss")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ordertide-ckpt-", dir="/tmp"))
+    sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 

@@ -1,3 +1,3 @@
 from ordertide.sources.sales import (ROW_KEY, SALES_COLUMNS, materialize_sales_view,  # noqa: F401
-                                     read_materialized, sales_view, sales_view_from_tables)
+                                     sales_view, sales_view_from_tables)
 from ordertide.sources.tables import SCHEMAS, read_star, read_table  # noqa: F401

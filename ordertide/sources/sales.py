@@ -95,7 +95,12 @@ def sales_view_from_tables(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-line sales fact over the test star schema (lazy)."""
+    """Order-line sales fact over the test star schema (lazy).
+
+    Joins are inner: order lines without their order, customer or part are not
+    sales and are left out. Money is computed in cents: prices are read with 2
+    decimals, discounts with 2 and quantities as whole numbers; data with more
+    digits are rounded to these (``sales_amount``, ``line_profit``)."""
     return sales_view_from_tables(read_star(spark, sf_dir))
 
 
@@ -108,7 +113,3 @@ def materialize_sales_view(df: DataFrame, path: str, mode: str = "overwrite") ->
     (df.withColumn("order_year", F.year("order_date"))
        .sortWithinPartitions("order_year", "order_date")
        .write.mode(mode).partitionBy("order_year").parquet(path))
-
-
-def read_materialized(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -12,9 +12,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ordertide.session import local_session
-    s = local_session(4, shuffle_partitions=4, app_name="ordertide-tests")
+    s = local_session(4, shuffle_partitions=4, app_name="ordertide-tests",
+                      checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
 
 

@@ -151,7 +151,7 @@ def test_global_rank_any_partition_count(spark):
 def test_quantiles_linear_and_hazen(spark):
     x = np.round(RNG.exponential(100, 501), 3)
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(x)], "sales double, k long")
-    q = DI.exact_quantiles(df, "sales", [0.25, 0.5, 0.75], key=["k"]).first()
+    q = DI.exact_quantiles(df, "sales", [0.25, 0.5, 0.75]).first()
     assert np.allclose([q.q25, q.q50, q.q75], np.percentile(x, [25, 50, 75]), rtol=0, atol=1e-9)
     xs = np.sort(x)
 
@@ -160,16 +160,16 @@ def test_quantiles_linear_and_hazen(spark):
         lo = int(math.floor(h))
         return xs[lo] + (xs[min(lo + 1, len(xs) - 1)] - xs[lo]) * (h - lo)
 
-    qh = DI.exact_quantiles(df, "sales", [0.25, 0.75], key=["k"], method="hazen").first()
+    qh = DI.exact_quantiles(df, "sales", [0.25, 0.75], method="hazen").first()
     assert abs(qh.q25 - hazen(0.25)) < 1e-9 and abs(qh.q75 - hazen(0.75)) < 1e-9
 
 
 def test_box_whiskers(spark):
     x = np.r_[np.arange(1.0, 21.0), 100.0]
     df = spark.createDataFrame([(float(v), i) for i, v in enumerate(x)], "sales double, k long")
-    b = DI.box_stats(df, "sales", None, key=["k"]).first()
+    b = DI.box_stats(df, "sales", None).first()
     assert b.whisker_high == 20.0 and b.whisker_low == 1.0 and b.outliers == 1
-    assert DI.box_outliers(df, "sales", None, key=["k"]).first().sales == 100.0
+    assert DI.box_outliers(df, "sales", None).first().sales == 100.0
 
 
 def test_histogram_counts(spark):

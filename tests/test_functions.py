@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_sales
@@ -73,10 +74,20 @@ def test_trend_needs_two_points(spark):
 
 
 def test_raw_data_paging_and_user_sort(spark):
-    df = make_sales(spark, [dict(sales=i, order_id=i) for i in range(250)])
-    p2 = raw_data(df.select("order_id", "order_date", "sales"), sort=[("sales", False)], key=["order_id"],
-                  page=2, page_size=100).collect()
-    assert len(p2) == 50 and p2[0].sales == 49 and p2[0].order_date == "2020-01-01"
+    """Pages follow each other without gap or overlap, NULLs and ties included."""
+    rows = [dict(sales=None if i % 40 == 0 else i // 3, order_id=i, region=None if i % 7 == 0 else f"R{i % 5}") for i in range(250)]
+    df = make_sales(spark, rows).select("order_id", "order_date", "region", F.col("sales").cast("double").alias("sales"))
+    for sort in ([("sales", False)], [("sales", True)], [("region", True), ("sales", False)], []):
+        order = dict(sort=sort, key=["order_id"], page_size=60)
+        seen, after = [], None
+        while page := raw_data(df, **order, after=after, display=False).collect():
+            seen += [r.order_id for r in page]
+            after = tuple(page[-1][c] for c in [*[c for c, _ in sort], "order_id"])
+        whole = raw_data(df, **dict(order, page_size=1000)).collect()
+        assert seen == [r.order_id for r in whole] and len(seen) == 250
+    assert whole[0].order_date == "2020-01-01"
+    with pytest.raises(ValueError):
+        raw_data(df, sort=[("sales", False)])
 
 
 def test_sinks_roundtrip(spark, tmp_path):

@@ -59,7 +59,8 @@ def test_kde_has_no_cross_product(spark):
 
 
 def test_quantiles_never_gather_a_group(spark):
-    plan = _plan(DI.exact_quantiles(sales_view(spark, SF_SMALL), "sales", [0.5], ["category"], ROW_KEY))
+    plan = _plan(DI.exact_quantiles(sales_view(spark, SF_SMALL).withColumn("sales", F.col("sales").cast("double")),
+                                    "sales", [0.5], ["category"]))
     assert "percentile" not in plan.lower() and _only_stats_go_single(plan)
 
 
@@ -91,3 +92,25 @@ def test_fact_is_streamed_not_broadcast(spark):
     plan = _formatted(sales_view(spark, "/root/testdata/sf0.1"))
     anc = _ancestors(plan, "lineitem")
     assert anc and not any(a.startswith("BroadcastExchange") for a in anc), anc
+
+
+def test_quantiles_do_not_sort_rows(spark):
+    """No range exchange anywhere: quantiles and the stratified split select."""
+    from ordertide.operators import supervised as SU
+    lab, _ = SU.high_value_labels(sales_view(spark, SF_SMALL), ROW_KEY)
+    plan = _plan(SU.split_stratified(lab.select(*ROW_KEY, "label"), "label", 0.25, ROW_KEY))
+    assert "rangepartitioning" not in plan
+
+
+def test_filtered_ytd_prunes_dates(spark):
+    from ordertide.operators import kpis as K
+    s = sales_view(spark, SF_SMALL)
+    text = _formatted(K.ytd_metrics_anchored(s, FL.time_predicate(s, year=1999, quarter="Q2")))
+    assert "o_orderdate" in text.split("PushedFilters", 1)[1] and "GreaterThanOrEqual(o_orderdate" in text
+
+
+def test_pages_are_top_k(spark):
+    from ordertide.operators.table import raw_data
+    s = sales_view(spark, SF_SMALL).select(*ROW_KEY, "sales")
+    plan = _plan(raw_data(s, key=ROW_KEY, page_size=10, after=(500, 1, 1, 1, 1.0)))
+    assert "TakeOrderedAndProject" in plan and "GlobalLimit" not in plan

@@ -28,9 +28,9 @@ def test_hashed_encoding_regression(spark):
 
 def test_checked_broadcast(spark):
     big = spark.range(1000).withColumn("g", F.col("id") % 7)
-    small = spark.range(7).withColumnRenamed("id", "g").withColumn("w", F.col("g") * 2)
+    small = spark.range(7).withColumnRenamed("id", "g").withColumn("w", F.col("g").cast("string"))
     plan = join_small(big, small, "g")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert join_small(big, small, "g").count() == 1000
     # beyond the bound the hint is not applied
-    assert broadcast_if_small(small, max_rows=3) is small
+    assert broadcast_if_small(small, max_bytes=100) is small
