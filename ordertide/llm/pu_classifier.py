@@ -84,7 +84,8 @@ def _adam(gradient, size: int, steps: int, rate: float) -> np.ndarray:
 def positive_or_unlabelled(p: np.ndarray, u: np.ndarray, l2: float, steps: int, rate: float) -> np.ndarray:
     """Weights of a balanced logistic regression of positives against unlabelled rows."""
     def gradient(w):
-        return -(_sigmoid(-(p @ w)) @ p) / len(p) / 2 + (_sigmoid(u @ w) @ u) / len(u) / 2 + l2 * w
+        w32 = w.astype(np.float32)
+        return -(_sigmoid(-(p @ w32)) @ p) / len(p) / 2 + (_sigmoid(u @ w32) @ u) / len(u) / 2 + l2 * w
     return _adam(gradient, p.shape[1], steps, rate)
 
 
@@ -98,7 +99,8 @@ def class_prior(p_scores: np.ndarray, u_scores: np.ndarray) -> float:
 def non_negative_risk(p: np.ndarray, u: np.ndarray, prior: float, l2: float, steps: int, rate: float) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk with logistic loss."""
     def gradient(w):
-        zp, zu = p @ w, u @ w
+        w32 = w.astype(np.float32)
+        zp, zu = p @ w32, u @ w32
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         g_negative = (_sigmoid(zu) @ u) / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
         if negative < 0:  # the estimated risk of negatives can't be negative: undo what made it so
@@ -114,12 +116,15 @@ class Model:
         self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        s = z[:, :STATS]
-        return np.concatenate([z, s * s, np.ones((len(x), 1))], axis=1)
+        """Standardised features, squares of the statistics, one (float32)."""
+        out = np.ones((len(x), SIZE + STATS + 1), dtype=np.float32)
+        z = out[:, :SIZE]
+        np.clip((x - self.mean) / self.scale, -8, 8, out=z)
+        np.square(z[:, :STATS], out=out[:, SIZE:SIZE + STATS])
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.design(x) @ self.weights)
+        return _sigmoid(self.design(x).astype(np.float64) @ self.weights)
 
 
 def train(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 1e-3,
@@ -128,9 +133,11 @@ def train(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = N
     scores 0.5 everywhere."""
     n = SIZE + STATS + 1
     if not len(positives) or not len(unlabelled):
-        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros(n), 0.5)
+        return Model(np.zeros(SIZE, np.float32), np.ones(SIZE, np.float32), np.zeros(n), 0.5)
     both = np.concatenate([positives, unlabelled])
-    model = Model(both.mean(axis=0), both.std(axis=0) + 1e-3, np.zeros(n), 0.5)
+    mean, scale = (f(both, axis=0, dtype=np.float64).astype(np.float32) for f in (np.mean, np.std))
+    model = Model(mean, scale + np.float32(1e-3), np.zeros(n), 0.5)
+    del both
     p, u = model.design(positives), model.design(unlabelled)
     if prior is None:
         # fit on one half, estimate on the other
@@ -183,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unlabelle
     x = rows.mapInArrow(_sample_features, f"doc_id {id_type}, trusted int, x binary")
     got = x.groupBy("doc_id", "trusted").agg(F.min("x").alias("x")).collect()  # positive_rows + unlabelled_rows at most
     got.sort(key=lambda r: (r["trusted"], r["doc_id"]))
-    parts = [np.array([np.frombuffer(r["x"], np.float32) for r in got if r["trusted"] == k]) for k in (1, 0)]
-    return train(*(p.reshape(-1, SIZE).astype(np.float64) for p in parts), prior=prior)
+    parts = [np.frombuffer(b"".join(r["x"] for r in got if r["trusted"] == k), np.float32).reshape(-1, SIZE) for k in (1, 0)]
+    del got
+    return train(*parts, prior=prior)
 
 
 def classify(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unlabelled_rows: int = 6000,
