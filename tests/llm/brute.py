@@ -80,9 +80,26 @@ def dedup_lines(rows, min_chars=40, min_docs=5):
 UNIT = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:\n]+[\x20\x09-\x0D]*|\Z)")
 
 
+def sentences_of(text):
+    """Cuts behind marks and line ends; over 96 bytes without one, behind words of 11 bytes or more."""
+    out = []
+    for u in UNIT.findall(text or ""):
+        if len(u.encode()) <= 96:
+            out.append(u)
+            continue
+        piece = ""
+        for word in re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+", u):
+            piece += word
+            if len(word.strip(" \t\n\r\x0b\x0c").encode()) >= 11 and word[-1] in " \t\n\r\x0b\x0c":
+                out.append(piece)
+                piece = ""
+        out.append(piece)
+    return [u for u in out if u]
+
+
 def dedup_spans(rows, sentences=3, min_words=15):
     """rows: (doc_id, text) with distinct ids. Kept text of each row."""
-    cut = [[u for u in UNIT.findall(t or "") if u] for _, t in rows]
+    cut = [sentences_of(t) for _, t in rows]
     found = defaultdict(list)
     for (i, t), parts in zip(rows, cut):
         w = [words(u.translate(ASCII_LOWER)) for u in parts]
