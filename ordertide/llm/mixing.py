@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordertide.llm.tables import bucket_rank, pick, stored, words
+from ordertide.llm.tables import bucket_rank, stored, words
 
 #: Characters whose share lowers a document's default weight.
 SYMBOLS = "#*$%&|<>"
@@ -30,7 +30,8 @@ def symbol_weight(text: str = "text") -> Column:
     characters; null and empty texts weigh 1."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(t)
-    share = (n - F.length(F.translate(t, SYMBOLS, ""))) / F.greatest(n, F.lit(1))
+    symbols = F.when(t.rlike(f"[{SYMBOLS}]"), n - F.length(F.translate(t, SYMBOLS, ""))).otherwise(0)
+    share = symbols / F.greatest(n, F.lit(1))
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(4.0) * share)
 
 
@@ -88,9 +89,8 @@ def mix(docs: DataFrame, weight: Column | None = None, source_weights: tuple = (
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("src_null", "src").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, source_weights, budget, max_epochs)
-    ranked = bucket_rank(rows, ["src_null", "src"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size"],
-                         value="size")
-    out = ranked.join(targets, ["src_null", "src"])
+    out = bucket_rank(rows, ["src_null", "src"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size"],
+                      value="size", per_group=targets)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     out = out.withColumn("epochs", whole.cast("long"))
     out = out.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))

@@ -43,7 +43,7 @@ def words(text: Column) -> Column:
 
 
 def bucket_rank(df: DataFrame, groups: list[str], bucket: str, order: list, value: str | None = None,
-                counts_from: DataFrame | None = None) -> DataFrame:
+                counts_from: DataFrame | None = None, per_group: DataFrame | None = None) -> DataFrame:
     """Add ``rank`` (from 0) and, with ``value``, ``before`` (the sum of
     ``value`` over the rows in front) to each row of its group.
 
@@ -51,12 +51,17 @@ def bucket_rank(df: DataFrame, groups: list[str], bucket: str, order: list, valu
     order only within it): a group of any size is dealt over its buckets. The
     counts of a (group, bucket) are pre-aggregated before their shuffle, their
     prefix sums are a small table, and rows are sorted within one bucket only.
-    ``counts_from``: cheaper rows with the same groups and buckets."""
+    ``counts_from``: cheaper rows with the same groups and buckets.
+    ``per_group``: one row per group (the ``groups`` and further columns, which
+    the result gets); it joins the small table, so a hot group's rows meet it
+    bucket by bucket."""
     aggs = [F.count(F.lit(1)).alias("__n")] + ([F.sum(value).alias("__v")] if value else [])
     base = (counts_from if counts_from is not None else df).groupBy(*groups, bucket).agg(*aggs)
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     base = base.select(*groups, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rank0"),
                        *([F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__sum0")] if value else []))
+    if per_group is not None:
+        base = base.join(per_group, groups)
     inside = Window.partitionBy(*groups, bucket).orderBy(*order)
     df = df.withColumn("__i", F.row_number().over(inside) - 1)
     if value:
