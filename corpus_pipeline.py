@@ -1,5 +1,12 @@
 """A training corpus from documents: quality, lines, near-duplicates, mixture,
-sequences. Every stage works on all rows that the one before it kept."""
+sequences. Every stage works on all rows that the one before it kept.
+
+Null and empty texts are scored like texts without features, become empty
+texts in the line stage, link with each other as near-duplicates, have size 0
+in the mixture and are one end id as a sequence. Null ids and sources are
+values like others, repeated rows are near-duplicates of each other, equal
+inputs give equal results, and an empty table gives empty results at every
+stage. Columns beyond those of ``documents`` are dropped by the first stage."""
 
 from __future__ import annotations
 
