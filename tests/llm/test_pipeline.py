@@ -3,7 +3,7 @@
 import brute
 import corpus_pipeline as C
 import pytest
-from conftest_llm import SMALL
+from cases import SMALL, edge  # noqa: F401 (fixtures)
 from pyspark.sql import functions as F
 
 from ordertide.llm import pu_classifier

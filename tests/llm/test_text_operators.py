@@ -5,7 +5,7 @@ import hashlib
 
 import brute
 import pytest
-from conftest_llm import SMALL, edge_rows
+from cases import SMALL, edge, edge_rows, empty, small  # noqa: F401 (fixtures)
 from pyspark.sql import functions as F
 
 from ordertide.llm import bloom, line_dedup, mixing, quality_llr, queries, simhash, span_dedup

@@ -6,7 +6,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
-from conftest_llm import SMALL, edge_rows
+from cases import SMALL, edge, edge_rows, empty, small  # noqa: F401 (fixtures)
 
 from ordertide.llm import embed_forest, html_tree, packing, pu_classifier, queries, shard_tree
 
