@@ -105,6 +105,36 @@ def test_passage_in_mid_sentence(spark):
         assert "under the bridge" not in got[i] and "took them an hour" not in got[i] and f"x{i} y{i}" in got[i]
 
 
+def _without_repeated_runs(rows, sentences, min_words):
+    """Kept text of each row: every run of enough units and words is looked for."""
+    cut = {i: [u.decode() for u in span_dedup.units(t.encode())] for i, t in rows}
+    places = {}
+    for i, parts in cut.items():
+        w = [brute.words(u.translate(brute.ASCII_LOWER)) for u in parts]
+        at = [k for k, x in enumerate(w) if x]
+        for a in range(len(at)):
+            for b in range(a + sentences, len(at) + 1):
+                if sum(len(w[k]) for k in at[a:b]) >= min_words:
+                    places.setdefault(tuple(" ".join(w[k]) for k in at[a:b]), []).append((i, at[a], at[b - 1] + 1))
+    gone = {(i, k) for p in places.values() for i, a, b in p if (i, a, b) != min(p) for k in range(a, b)}
+    return {i: "".join(u for k, u in enumerate(parts) if (i, k) not in gone) for i, parts in cut.items()}
+
+
+def test_spans_are_all_runs(spark):
+    """Tails that no run from an earlier cut reaches go, too: copies lose every word, passages their last sentences."""
+    import random
+    rng = random.Random(5)
+    sentence = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 5) for _ in range(rng.randint(1, 9))) + rng.choice(".,;!") + " "
+    whole = "".join(sentence() for _ in range(12))
+    passage = "".join(sentence() for _ in range(6))
+    rows = [(1, whole), (2, whole), (3, "".join(sentence() for _ in range(4)) + passage + "Then it goes on. "),
+            (4, "".join(sentence() for _ in range(3)) + passage + "And on, but otherwise. "), (5, passage)]
+    rows += [(6 + k, "".join(sentence() for _ in range(2)) + whole[:k * 30]) for k in range(4)]
+    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), sentences=2).collect()}
+    assert got == _without_repeated_runs(rows, 2, 15)
+    assert got[1] == whole and got[2] == "" and got[5] == "" and passage.split()[-1] not in got[4].split()
+
+
 def test_spans_edges(edge, empty):
     got = span_dedup.dedup_spans(edge, carry=("source",)).collect()
     assert len(got) == len(edge_rows())
