@@ -135,6 +135,28 @@ def test_spans_are_all_runs(spark):
     assert got[1] == whole and got[2] == "" and got[5] == "" and passage.split()[-1] not in got[4].split()
 
 
+def test_spans_without_marks(spark):
+    """Text without ASCII marks: runs of one short word, other short words, scripts without spaces, endless words."""
+    import random
+    rng = random.Random(6)
+    short = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60))
+    zh = "春天来了，河水涨到了路边。人们绕过山坡走，多花一个小时！他们不介意，因为那里的风景很好？"
+    plain = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(150))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(150))
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400_000))
+    parts = ["Der " * 128, short, zh, plain, thai, token]
+    rows = [(10 * k + i, t) for k, t in enumerate(parts) for i in (1, 2)]
+    rows += [(100, f"这是另一篇文章的开头。{zh}文章在这里结束。"), (101, f"nobody knows who wrote any of it {short} nor what it may be good for"),
+             (102, f"这是又一篇文章的开头{plain}文章在这里结束")]
+    assert all(b"".join(span_dedup.units(t.encode())) == t.encode() for _, t in rows)
+    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), sentences=2).collect()}
+    assert all(not got[10 * k + 2] for k in range(len(parts)))
+    assert all(got[10 * k + 1] == t for k, t in enumerate(parts) if k)
+    assert got[100] == "这是另一篇文章的开头。文章在这里结束。"
+    assert len(set(short.split()) & set(got[101].split())) < 15 and got[101].startswith("nobody knows") and "good for" in got[101]
+    assert len(set(plain) & set(got[102])) < 50 and got[102].startswith("这是又一篇文章") and got[102].endswith("结束")
+
+
 def test_spans_edges(edge, empty):
     got = span_dedup.dedup_spans(edge, carry=("source",)).collect()
     assert len(got) == len(edge_rows())
