@@ -3,7 +3,8 @@
 A page's markup becomes a tree of its block elements (inline elements only
 matter for links and for what they hide). Parts that are never text (scripts,
 forms, menus, footers, sidebars, adverts, notices, reader comments, hidden
-elements) are marked by tag, role and the words of class and id. Every block
+elements) are marked by tag, role and the words of class and id; by words
+alone only what, read to its end, doesn't look like the page's text. Every block
 of text passes points for its length and commas to its ancestors, less with
 each level; a container's points are discounted by its link density. The best
 container (or the article element around it) is kept with the siblings that
@@ -31,10 +32,11 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = set("script style noscript template iframe object canvas svg math title textarea select datalist audio video"
+UNREAD = set("script style noscript template iframe object canvas svg annotation annotation-xml title textarea select datalist audio video"
              .split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
-             "strong sub sup time tt u var nobr label data output".split())
+             "strong sub sup time tt u var nobr label data output math semantics mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt "
+             "mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose mfenced".split())
 #: A new element with one of these tags ends an open one with any of the given tags.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -52,8 +54,13 @@ DROPPED_NAMES = set("ad ads advert adverts advertisement advertising adsense ban
                     "consent gdpr notice notices alert popup modal overlay lightbox promo promos promotion sponsor sponsors "
                     "sponsored share sharing shares social related recommended recommendations newsletter subscribe "
                     "subscription signup login signin search pagination pager comment comments commentlist disqus reply "
-                    "replies respond widget widgets toolbar skip tags outbrain taboola copyright form feedback "
-                    "byline".split())
+                    "replies respond widget widgets toolbar skip tags outbrain taboola copyright form feedback".split())
+#: Of these, words that text is named by, too: such an element is dropped only if it is short or full of links.
+WEAK_NAMES = set("ad aside rail foot consent notice notices alert related recommended recommendations social sharing share "
+                 "search subscription form feedback reply replies skip tags promotion navigation copyright header head hdr "
+                 "widget banner".split())
+COMMENT_NAMES = set("comment comments commentlist disqus reply replies respond".split())
+WEAK_CHARS, WEAK_DENSITY = 140, 0.33
 HEADER_NAMES = {"header", "head", "hdr"}
 #: Like browsers: elements nested deeper than this are read into the one that holds them.
 MAX_DEPTH = 512
@@ -65,11 +72,11 @@ COMMAS = re.compile("[,،、，;]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "form", "names", "points", "chars", "links", "n_links", "at")
+    __slots__ = ("tag", "parent", "dropped", "form", "names", "points", "chars", "links", "n_links", "at", "named")
 
     def __init__(self, tag, parent, dropped, form, names, at):
         self.tag, self.parent, self.dropped, self.form, self.names, self.at = tag, parent, dropped, form, names, at
-        self.points, self.chars, self.links, self.n_links = 0.0, 0, 0, 0
+        self.points, self.chars, self.links, self.n_links, self.named = 0.0, 0, 0, 0, set()
 
     def ancestors(self):
         n = self
@@ -87,7 +94,7 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for w in NAME_WORDS.findall(both)} if len(both) > 1 else set()
 
 
-def _is_dropped(tag: str, attributes: dict[str, str], names: set[str], in_article: bool) -> bool:
+def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if attributes:
         if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
             return True
@@ -95,16 +102,54 @@ def _is_dropped(tag: str, attributes: dict[str, str], names: set[str], in_articl
             return True
         if tag not in ARTICLE and tag != "body" and attributes.get("role", "").lower() in DROPPED_ROLES:
             return True
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    return bool(names & DROPPED_NAMES) or bool(names & HEADER_NAMES) and not in_article and not names & GOOD_NAMES
+    return tag in DROPPED or tag == "header" and not in_article
 
 
-def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+def _drop_words(tag: str, attributes: dict[str, str], names: set[str], in_article: bool) -> set[str]:
+    """The names' words that speak for dropping the element. Ids of headings
+    and inline elements name places in the text."""
+    if tag in ("html", "body", "main") or not names:
+        return set()
+    if (tag in HEADINGS or tag in INLINE) and "id" in attributes:
+        names = _names({"class": attributes.get("class", "")})
+    header = set() if in_article or names & GOOD_NAMES else names & HEADER_NAMES
+    return names & DROPPED_NAMES | header
+
+
+def _without_named(nodes: list[Node], found: list[tuple[Node, str, int, int]]) -> list[tuple[Node, str, int, int]]:
+    """The blocks outside elements that their names drop."""
+    if not any(n.named for n in nodes):
+        return found
+    for node, t, linked, _ in found:
+        for a in node.ancestors():
+            a.chars += len(t)
+            a.links += linked
+    own = [n for n in nodes if n.tag in ARTICLE and not n.dropped and not any(a.named & COMMENT_NAMES for a in n.ancestors())]
+    holds = {id(a) for n in nodes if not n.dropped and (n.tag in ARTICLE or n.tag == "h1") and not n.named & COMMENT_NAMES
+             for a in n.ancestors()}
+    around = {id(a) for n in own for a in n.ancestors()}
+    drop = set()
+    for n in nodes:
+        if not n.named:
+            continue
+        weak, good, density = not n.named - WEAK_NAMES, bool(n.names & GOOD_NAMES), _density(n)
+        spared = (id(n) in holds if not n.named & COMMENT_NAMES else id(n) in around and n.tag not in ARTICLE)
+        if weak and n.tag not in PARAGRAPH:
+            spared = spared or density < WEAK_DENSITY and (good or n.chars >= WEAK_CHARS)
+        if good and 2 * n.chars >= nodes[0].chars and density < 0.5:  # the page's text, if no article is elsewhere
+            spared = spared or all(n in a.ancestors() for a in own)
+        if not spared:
+            drop.add(id(n))
+    for n in nodes:
+        n.chars = n.links = 0
+    return [b for b in found if not any(id(a) in drop for a in b[0].ancestors())]
+
+
+def blocks(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
     """The tree's nodes in page order, and the blocks of text outside dropped
-    parts: (element, text with single spaces, characters within links)."""
+    parts: (element, text with single spaces, characters within links, links).
+    ``by_name``: inline elements are dropped by their class, others get their
+    ``named`` words."""
     root = Node("html", None, False, False, set(), 0)
     nodes, out, stack = [root], [], [root]
     parts: list[str] = []
@@ -122,9 +167,7 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             t = " ".join("".join(parts).split())
             if t:
                 node = next(n for n in reversed(stack) if n.tag not in INLINE)
-                out.append((node, t, min(len(t), state["linked"])))
-                for a in node.ancestors():
-                    a.n_links += state["n_links"]
+                out.append((node, t, min(len(t), state["linked"]), state["n_links"]))
             parts.clear()
         state["linked"] = state["n_links"] = 0
 
@@ -177,7 +220,9 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             if tag == "a":
                 state["link"] = 1
                 state["n_links"] += 1
-            if attributes and len(stack) < MAX_DEPTH and _is_dropped(tag, attributes, names, True):
+            if attributes and len(stack) < MAX_DEPTH and (
+                    _is_dropped(tag, attributes, True)
+                    or by_name and not names & GOOD_NAMES and _drop_words(tag, attributes, names, True)):
                 stack.append(Node(tag, stack[-1], True, False, names, len(nodes)))
             continue
         end_block()
@@ -191,8 +236,10 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         top = stack[-1]
         in_article = any(n.tag in ARTICLE for n in top.ancestors())
-        node = Node(tag, top, top.dropped or _is_dropped(tag, attributes, names, in_article), top.form or tag == "form",
+        node = Node(tag, top, top.dropped or _is_dropped(tag, attributes, in_article), top.form or tag == "form",
                     names, len(nodes))
+        if by_name:
+            node.named = _drop_words(tag, attributes, names, in_article)
         nodes.append(node)
         stack.append(node)
     if at < len(page):
@@ -201,12 +248,12 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     return nodes, out
 
 
-def _score(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
+def _score(nodes: list[Node], found: list[tuple[Node, str, int, int]]) -> None:
     for n in nodes:
         n.points = TAG_POINTS.get(n.tag, 0) + NAME_POINTS * bool(n.names & GOOD_NAMES)
         if n.tag in HEADINGS:
             n.points -= 5
-    for node, t, linked in found:
+    for node, t, linked, n_links in found:
         points = (len(t) >= 25) + len(COMMAS.findall(t)) + min(len(t) / 100, 3)
         first = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
         for level, a in enumerate(first.ancestors()):
@@ -214,6 +261,7 @@ def _score(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
         for a in node.ancestors():
             a.chars += len(t)
             a.links += linked
+            a.n_links += n_links
 
 
 def _density(n: Node) -> float:
@@ -224,7 +272,12 @@ def main_text(page: str | None) -> str:
     """The main text: kept blocks in page order, joined by one \\n."""
     if not page:
         return ""
-    nodes, found = blocks(page)
+    return _main_text(page, True) or _main_text(page, False)
+
+
+def _main_text(page: str, by_name: bool) -> str:
+    nodes, found = blocks(page, by_name)
+    found = _without_named(nodes, found)
     # a form is dropped unless it holds the page's article or heading (pages that are one form)
     whole = {id(a) for n in nodes if n.tag in ARTICLE or n.tag == "h1" for a in n.ancestors() if a.tag == "form"}
     found = [b for b in found if not any(a.tag == "form" and id(a) not in whole for a in b[0].ancestors())]
@@ -245,7 +298,7 @@ def main_text(page: str | None) -> str:
             reads = n.tag == "p" and (n.chars > 80 and _density(n) < 0.25 or n.links == 0 and best.tag not in ARTICLE)
             if reads or n.tag in HEADINGS and n.at < best.at or n.tag not in PARAGRAPH and total(n) >= limit:
                 kept.add(id(n))
-    return "\n".join(t for node, t, _ in found if any(id(a) in kept for a in node.ancestors()))
+    return "\n".join(t for node, t, *_ in found if any(id(a) in kept for a in node.ancestors()))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]):

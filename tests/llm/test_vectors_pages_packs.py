@@ -142,6 +142,28 @@ def test_main_text(page, text):
     assert got == text if text is not None else isinstance(got, str)
 
 
+LONG_P = "<p>A long paragraph, with commas, and clauses, and so many words that nobody takes it for a menu, or for an advert.</p>"
+
+
+@pytest.mark.parametrize("page, held, gone", [
+    (f"<div class='content has-sidebar'>{LONG_P * 3}<div class='sidebar'><p>Read this, too.</p></div></div>", ["A long"], ["Read this"]),
+    (f"<div class='social'>{LONG_P}</div>", ["A long"], []), (f"<div class='cookie'>{LONG_P}</div>", ["A long"], []),
+    (f"<article>{LONG_P}<section id='related-work'><h2 id='social-factors'>Work</h2>{LONG_P * 2}</section></article>",
+     ["A long", "Work"], []),
+    (f"{CHROME}<article class='post tags-x'><h1>Title</h1>{LONG_P}</article>{AFTER}", ["Title", "A long"], ["Nice", "cookies", "Read"]),
+    (f"<article><h1>T</h1><p class='byline'>By A. Writer</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, as we said.</p>{LONG_P}"
+     "</article>", ["By A. Writer", "So x=2, as we said."], []),
+    (f"<article>{LONG_P}<div class='related'><a href=a>One more</a><a href=b>Two more</a></div></article>", ["A long"], ["more"]),
+    (f"<article>{LONG_P}<div id='comments'><ol><li class='comment'><article class='comment-body'>{LONG_P.replace('A long', 'My')}"
+     f"</article></ol></div></article>", ["A long"], ["My par"]),
+    (f"<article>{LONG_P}</article><div id='comments'><article class='comment-body'>{LONG_P.replace('A long', 'My') * 4}</article></div>",
+     ["A long"], ["My par"]),
+])
+def test_names_alone_drop_no_text(page, held, gone):
+    got = html_tree.main_text(page)
+    assert all(x in got for x in held) and not any(x in got for x in gone)
+
+
 def test_pages(spark):
     """On the given pages: the blocks of the article element, read by patterns."""
     import html
