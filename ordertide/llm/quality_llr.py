@@ -9,8 +9,9 @@ divided by their number, and every document is held to one threshold.
 
 Scale: the counts are one map-side aggregation (its shuffle holds at most
 tasks * buckets rows); the ratios, one per bucket, are a constant of the
-scoring plan, which has no shuffle. The trusted documents that the target
-counts use are bounded by a parameter, so their ids can be broadcast.
+scoring plan, which has no shuffle. The target counts use all trusted
+documents: their ids are broadcast if they are counted to be small, else they
+meet the documents in a shuffle join.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertide.llm.tables import WHITE, pick, words
+from ordertide.llm.tables import WHITE, pick, stored, words
+from ordertide.operators.joins import BROADCAST_MAX_BYTES, broadcast_if_small
 
 PUNCTUATION = "([!-/:-@\\[-`{-~]+)"
 SYMBOLS = "#*$%&|<>"
@@ -52,11 +54,12 @@ def with_grams(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("grams", F.transform("grams", lambda h: F.pmod(h, F.lit(buckets)).cast("int")))
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int, smoothing: float = 1.0) -> list[int]:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int, smoothing: float = 1.0,
+               max_bytes: int = BROADCAST_MAX_BYTES) -> list[int]:
     """For each bucket, UNIT times the log of its share in the trusted
     documents over its share in all documents. ``trusted_ids``: distinct
-    doc_id, few enough to broadcast."""
-    t = F.broadcast(trusted_ids.select(F.col("doc_id").alias("__trusted")))
+    doc_id, any number; broadcast up to ``max_bytes``."""
+    t = broadcast_if_small(stored(trusted_ids.select(F.col("doc_id").alias("__trusted")), "llr-trusted"), max_bytes)
     d = docs.join(t, F.col("doc_id") == F.col("__trusted"), "left")
     d = with_grams(d.select("text", F.col("__trusted").isNotNull().cast("long").alias("trusted")), buckets)
     # explode() would have the optimizer compute the n-grams again, for a filter on empty arrays
@@ -108,11 +111,9 @@ def with_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def trusted_sample(labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` distinct ids of documents with quality 1, those with
-    the least hashes."""
-    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted(labels: DataFrame) -> DataFrame:
+    """The distinct ids of all documents with quality 1."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1 << 14, threshold: float = -0.15,

@@ -111,16 +111,12 @@ def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=4096)
 
 
-#: Trusted documents whose n-grams are the target of operator 5, at most.
-TRUSTED_ROWS = 20_000
-
-
 @register()
 def op5_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 5 over all documents: the target counts come from at most
-    TRUSTED_ROWS documents that ``labels`` marks quality 1, the corpus counts
-    from all documents."""
-    trusted = quality_llr.trusted_sample(read_corpus(spark, sf_dir, "labels"), TRUSTED_ROWS)
+    """Operator 5 over all documents: the target counts come from all
+    documents that ``labels`` marks quality 1, the corpus counts from all
+    documents."""
+    trusted = quality_llr.trusted(read_corpus(spark, sf_dir, "labels"))
     out = quality_llr.judge(read_corpus(spark, sf_dir, "documents"), trusted)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       "kept", "score")

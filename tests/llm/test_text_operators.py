@@ -198,6 +198,20 @@ def test_ratio_by_hand(spark):
     assert got[1] > 0 > got[3]
 
 
+def test_every_trusted_document_counts(spark, tmp_path):
+    """Where all documents are trusted, all ratios are 0, whatever their number; so they are by a shuffle join."""
+    from pyspark.sql import functions as F
+    n = 20_400
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit(f"w{k}") for k in range(12)],
+                                                                           F.concat(F.lit("x"), F.col("id") % 9)).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    scores = queries.op5_quality_llr(spark, str(tmp_path)).select("score").distinct().collect()
+    assert [r["score"] for r in scores] == [0.0]
+    some = docs.where("doc_id % 3 = 0").select("doc_id")
+    assert quality_llr.log_ratios(docs, some, 64, max_bytes=0) == quality_llr.log_ratios(docs, some, 64)
+
+
 def test_quality_agrees_with_labels(spark):
     labels = {r["doc_id"]: r["quality"] for r in queries.read_corpus(spark, "/root/testdata/sf0.01", "labels").collect()}
     got = {r["doc_id"]: r for r in queries.op5_quality_llr(spark, "/root/testdata/sf0.01").collect()}
