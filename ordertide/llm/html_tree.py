@@ -34,6 +34,8 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = set("script style noscript template iframe object canvas svg annotation annotation-xml title textarea select datalist audio video"
              .split())
+#: Of these, what browsers read as raw text: without an end tag it takes the rest of the page.
+RAW = set("script style title textarea iframe".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q rp rt ruby s samp small span strike "
              "strong sub sup time tt u var nobr label data output math semantics mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt "
              "mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose mfenced".split())
@@ -175,7 +177,7 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node
         end_block()
         del stack[upto:]
 
-    at = 0
+    at, unended = 0, set()
     for m in iter(lambda: MARKUP.search(page, at), None):
         if m.start() > at:
             text(page[at:m.start()])
@@ -207,10 +209,15 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node
                 text(" ")
             continue
         if tag in UNREAD:
-            if not rest.rstrip().endswith("/"):
+            if not rest.rstrip().endswith("/") and tag not in unended:
                 found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 close_at = page.find(">", found.start()) if found else -1
-                at = close_at + 1 if close_at >= 0 else len(page)
+                if close_at >= 0:
+                    at = close_at + 1
+                elif tag in RAW:
+                    at = len(page)
+                else:  # no end tag on the page: it hides nothing
+                    unended.add(tag)
             continue
         if tag == "body" or tag == "html":
             continue

@@ -164,6 +164,12 @@ def test_names_alone_drop_no_text(page, held, gone):
     assert all(x in got for x in held) and not any(x in got for x in gone)
 
 
+@pytest.mark.parametrize("tag", "svg object canvas noscript template select audio video".split())
+def test_unclosed_elements_hide_nothing(tag):
+    assert html_tree.main_text(f"<body><{tag}>no</{tag}><{tag}><article>{LONG_P}</article></body>") == LONG_P[3:-4]
+    assert html_tree.main_text(f"<article>{LONG_P}<script>var a; <p>no</p></article>") == LONG_P[3:-4]
+
+
 def test_pages(spark):
     """On the given pages: the blocks of the article element, read by patterns."""
     import html
