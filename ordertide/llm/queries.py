@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertide.llm import embed_forest, html_tree, line_dedup, mixing, packing, pu_classifier, quality_llr, shard_tree, simhash, span_dedup
+from ordertide.llm import (embed_forest, html_tree, lattice_lm, line_dedup, mixing, packing, pu_classifier, quality_llr, shard_tree,
+                            simhash, sketch_search, span_dedup, whiten)
 from ordertide.llm.tables import read_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,44 @@ def op3_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     a label."""
     out = embed_forest.link(read_corpus(spark, sf_dir, "embeddings"), threshold=0.93)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@register("""
+WITH p AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM p),
+a AS (SELECT sum(len(terms))::HUGEINT AS l, count(*) FILTER (WHERE len(terms) > 0)::HUGEINT AS n FROM d),
+i AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM benchmark),
+qt AS (SELECT DISTINCT q, item_id, unnest(terms) AS term FROM i),
+tf AS (SELECT r, term, count(*)::HUGEINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+       WHERE term IN (SELECT term FROM qt) GROUP BY r, term),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(a.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w FROM tf, a GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(terms) * a.n) // a.l) AS m FROM d, a WHERE len(terms) > 0),
+s AS (SELECT qt.q, qt.item_id, m.doc_id, m.r, sum(df.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m))) AS score
+      FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM k WHERE rank <= 10""")
+def op11_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: all documents ranked for each benchmark item."""
+    return sketch_search.search(read_corpus(spark, sf_dir, "documents"), read_corpus(spark, sf_dir, "benchmark"), k=10)
+
+
+def vocabulary_path() -> str:
+    """The public subword vocabulary's file, where its package is installed."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register()
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over all documents, learning from nine tenths of them."""
+    vocabulary = lattice_lm.read_vocabulary(vocabulary_path(), ranked=True)
+    return lattice_lm.score(read_corpus(spark, sf_dir, "documents"), vocabulary, rounds=2)
+
+
+@register()
+def op13_whiten_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over all embeddings: 8 components; a deviation beyond 64
+    bits is null."""
+    out = whiten.whiten(read_corpus(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
