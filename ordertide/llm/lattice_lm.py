@@ -361,6 +361,22 @@ def _texts(shared, model: Model):
     return run
 
 
+def _frequent(table: DataFrame, most: int) -> dict[bytes, tuple[float, float]]:
+    """(base, p) of the words with at least as many occurrences as leave at
+    most ``most`` words; words over LONGEST_IN_BLOCKS bytes are left out."""
+    usual = table.where((F.col("c") > 0) & (F.octet_length("word") <= LONGEST_IN_BLOCKS))
+    usual = usual.withColumn("step", F.floor(8 * F.log2("c")).cast("int"))  # at most 8 * 64 steps
+    least, n = None, 0
+    for r in sorted(usual.groupBy("step").count().collect(), reverse=True):
+        n += r["count"]
+        if n > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    return {bytes(r["word"]): (r["base"], r["p"]) for r in usual.where(F.col("step") >= least).select("word", "base", "p").collect()}
+
+
 def learn(words: DataFrame, vocabulary: Vocabulary, rounds: int) -> np.ndarray:
     """The log masses of the pieces after ``rounds`` rounds of expected counts
     over all distinct words of the training texts (word, c)."""
@@ -377,7 +393,7 @@ def learn(words: DataFrame, vocabulary: Vocabulary, rounds: int) -> np.ndarray:
     return logs
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, frequent_words: int = 1 << 17,
+def score(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 3, frequent_words: int = 1 << 17,
           folds: int = 10, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (crc32 of the id as text
     modulo ``folds`` is ``held_fold``), n_tokens, n_known, train_tokens,
@@ -388,8 +404,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, frequent_wor
     bytes that are no UTF-8 can't occur in strings. Repeated rows are texts of
     their own, in the counts as well. Without training texts every word goes by
     the vocabulary's own scores. Empty tables give an empty result; other
-    columns are not read. ``frequent_words``: how many words tasks hold at most
-    (the most frequent of the training texts, by count, then by the word)."""
+    columns are not read. ``frequent_words``: how many of the training texts'
+    most frequent words tasks hold at most; results don't depend on it."""
     spark = docs.sparkSession
     d = pick(docs, doc_id=id_col, text=text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
@@ -407,9 +423,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, frequent_wor
     table = words.mapInArrow(_marginals(shared), "word binary, c long, lattice double")
     table = stored(table.select("word", "c", model.base_column(c).alias("base"),
                                 model.column(c, F.col("lattice")).alias("p")), "lattice-table")
-    top = table.where("c > 0").orderBy(F.desc("c"), "word").limit(frequent_words).where(F.length("word") <= LONGEST_IN_BLOCKS)
-    frequent = {bytes(r["word"]): (r["base"], r["p"]) for r in top.toLocalIterator()}
-    held = spark.sparkContext.broadcast(frequent)  # at most frequent_words words of bounded length
+    held = spark.sparkContext.broadcast(_frequent(table, frequent_words))
     out = stored(d.mapInArrow(_texts(held, model), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
                               "base_score double, score double, rest array<struct<word:binary,tf:long>>")
                  .withColumn("row", F.monotonically_increasing_id()), "lattice-texts")

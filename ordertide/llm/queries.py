@@ -196,7 +196,7 @@ def vocabulary_path() -> str:
 def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 12 over all documents, learning from nine tenths of them."""
     vocabulary = lattice_lm.read_vocabulary(vocabulary_path(), ranked=True)
-    return lattice_lm.score(read_corpus(spark, sf_dir, "documents"), vocabulary, rounds=2)
+    return lattice_lm.score(read_corpus(spark, sf_dir, "documents"), vocabulary, rounds=3)
 
 
 @register()

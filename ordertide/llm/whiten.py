@@ -72,9 +72,8 @@ def cross_products(y: np.ndarray) -> np.ndarray:
     """Exact sums over rows of y_i * y_j, as whole numbers of any size."""
     dims = y.shape[1]
     planes, dim, bit = bit_planes(y)
-    out = np.zeros((dims, dims), dtype=object)
     wide = len(bit) and 2 * int(bit.max()) + 2 + len(y).bit_length() > 62
-    sums = out if wide else np.zeros((dims, dims), dtype=np.int64)
+    sums = np.zeros((dims, dims), dtype=object if wide else np.int64)
     step = max(1, AND_WORDS // max(1, planes.size))
     for at in range(0, len(planes), step):
         rows = planes[at:at + step]
@@ -85,7 +84,7 @@ def cross_products(y: np.ndarray) -> np.ndarray:
             shared = shared.astype(object)
             power = power.astype(object)
         np.add.at(sums, (i.ravel(), j.ravel()), (shared << power).ravel())
-    return out + sums.astype(object)
+    return sums.astype(object)
 
 
 def _limbs(i: int, j: int, value: int) -> Iterator[tuple[int, int, int, int]]:
