@@ -113,3 +113,46 @@ def twice_seen(texts: DataFrame, hashes_of: Callable[[bytes | None], np.ndarray]
     for seg, part in partial.repartition("segment").mapInArrow(_fold, "segment int, bits binary").toLocalIterator():
         data[seg * step:(seg + 1) * step] = part  # bits / 8 bytes in all
     return TwiceSeen(texts.sparkSession.sparkContext.broadcast(bytes(data)), bits)
+
+
+class KeyFilter(TwiceSeen):
+    """A Bloom filter of 64-bit keys, broadcast to all tasks."""
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys may be among the filter's; false ones surely are not."""
+        return self.suspects(keys)
+
+
+def _key_bits(bits: int):
+    """mapInArrow body: (segment, once): the bits that this task's keys set."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            pos = np.unique(positions(b.column(0).to_numpy().view(np.uint64), bits))
+            cuts = np.flatnonzero(np.diff(pos // SEGMENT_BITS, prepend=-1)).tolist()
+            rows = [(int(pos[i] // SEGMENT_BITS), (pos[i:j] % SEGMENT_BITS).astype("<u4").tobytes())
+                    for i, j in zip(cuts, [*cuts[1:], len(pos)])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+                                             ["segment", "once"])
+    return run
+
+
+def _fold_keys(batches: Iterator[pa.RecordBatch]):
+    """mapInArrow body: each segment's bits."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for seg, once in zip(*(c.to_pylist() for c in b.columns)):
+            held.setdefault(seg, np.zeros(SEGMENT_BITS, bool))[np.frombuffer(once, "<u4")] = True
+    for seg, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
+                                         ["segment", "bits"])
+
+
+def key_filter(keys: DataFrame, expected: int, bits_per_key: int = 16, max_bits: int = 1 << 30) -> KeyFilter:
+    """The filter of the 64-bit hashes in the one column of ``keys``."""
+    bits = filter_bits(expected, bits_per_key, max_bits)
+    partial = keys.mapInArrow(_key_bits(bits), "segment int, once binary")
+    data = bytearray(bits // 8)
+    step = SEGMENT_BITS // 8
+    for seg, part in partial.repartition("segment").mapInArrow(_fold_keys, "segment int, bits binary").toLocalIterator():
+        data[seg * step:(seg + 1) * step] = part
+    return KeyFilter(keys.sparkSession.sparkContext.broadcast(bytes(data)), bits)

@@ -132,9 +132,9 @@ def op8_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents: spans of 2 or more sentences or clauses
-    and at least 15 words stay only where they occur first."""
-    out = span_dedup.dedup_spans(read_corpus(spark, sf_dir, "documents"), sentences=2, min_words=15)
-    return out.select("doc_id", "text", "n_sentences", "n_removed",
+    and at least 30 words stay only where they occur first."""
+    out = span_dedup.dedup_spans(read_corpus(spark, sf_dir, "documents"), sentences=2, min_words=30)
+    return out.select("doc_id", "text", "n_removed",
                       F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 

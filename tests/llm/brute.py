@@ -77,46 +77,31 @@ def dedup_lines(rows, min_chars=40, min_docs=5):
     return out
 
 
-UNIT = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:\n]+[\x20\x09-\x0D]*|\Z)")
-
-
-def sentences_of(text):
-    """Cuts behind marks and line ends; over 96 bytes without one, behind words of 11 bytes or more."""
-    out = []
-    for u in UNIT.findall(text or ""):
-        if len(u.encode()) <= 96:
-            out.append(u)
-            continue
-        piece = ""
-        for word in re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+", u):
-            piece += word
-            if len(word.strip(" \t\n\r\x0b\x0c").encode()) >= 11 and word[-1] in " \t\n\r\x0b\x0c":
-                out.append(piece)
-                piece = ""
-        out.append(piece)
-    return [u for u in out if u]
-
-
-def dedup_spans(rows, sentences=3, min_words=15):
-    """rows: (doc_id, text) with distinct ids. Kept text of each row."""
-    cut = [sentences_of(t) for _, t in rows]
-    found = defaultdict(list)
-    for (i, t), parts in zip(rows, cut):
+def dedup_spans(rows, cut, sentences, min_words, across=True):
+    """rows: (doc_id, text) with distinct ids; cut: a text's sentences. Kept
+    text of each row: of the shortest runs from and to every sentence with
+    enough sentences and words the first stays whole, others go."""
+    cuts = [cut(t or "") for _, t in rows]
+    found = defaultdict(set)
+    for (i, _), parts in zip(rows, cuts):
         w = [words(u.translate(ASCII_LOWER)) for u in parts]
         at = [k for k, x in enumerate(w) if x]
+        enough = lambda a, b: b - a >= sentences and sum(len(w[k]) for k in at[a:b]) >= min_words
+        runs = set()
         for a in range(len(at)):
-            n = 0
-            for b in range(a, len(at)):
-                n += len(w[at[b]])
-                if b - a + 1 >= sentences and n >= min_words:
-                    found[tuple(" ".join(w[k]) for k in at[a:b + 1])].append((i, at[a], at[b] + 1))
-                    break
+            runs.add((a, next((b for b in range(a + 1, len(at) + 1) if enough(a, b)), None)))
+            runs.add((next((x for x in range(a, -1, -1) if enough(x, a + 1)), None), a + 1))
+        for a, b in runs:
+            if a is not None and b is not None:
+                found[tuple(" ".join(w[k]) for k in at[a:b])].add((i, at[a], at[b - 1] + 1))
     gone = defaultdict(set)
     for places in found.values():
-        for i, a, b in places:
-            if (i, a, b) != min(places):
-                gone[i].update(range(a, b))
-    return ["".join(u for k, u in enumerate(parts) if k not in gone[i]) for (i, _), parts in zip(rows, cut)]
+        first = min(places)
+        if across and max(places)[0] == first[0]:
+            continue
+        for i, a, b in places - {first}:
+            gone[i].update(k for k in range(a, b) if i != first[0] or k >= first[2])
+    return ["".join(u for k, u in enumerate(parts) if k not in gone[i]) for (i, _), parts in zip(rows, cuts)]
 
 
 def rules(text):

@@ -89,7 +89,32 @@ def test_components(spark):
 def test_spans_small(spark, small):
     got = {r["doc_id"]: r["text"] for r in queries.op6_span_dedup(spark, SMALL).collect()}
     rows = [r[:2] for r in small]
-    assert got == {i: x for (i, _), x in zip(rows, brute.dedup_spans(rows, sentences=2))}
+    cut = lambda t: [u.decode() for u in span_dedup.units(t.encode())]
+    assert got == {i: x for (i, _), x in zip(rows, brute.dedup_spans(rows, cut, 2, 30))}
+
+
+def test_first_occurrence_stays_whole(spark):
+    """Runs that overlap themselves keep their first span, and copies lose all."""
+    rows = [(1, "Der " * 128), (2, "Der " * 128), (3, "one two, " * 40 + "and the end of it."), (4, "x " + "one two, " * 40),
+            (5, "it repeats itself, and nobody else, " * 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(d).collect()}
+    cut = lambda t: [u.decode() for u in span_dedup.units(t.encode())]
+    assert list(got[i] for i, _ in rows) == brute.dedup_spans(rows, cut, 2, 30) and got[5] == rows[4][1]
+    alone = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(d, across=False).collect()}
+    assert list(alone[i] for i, _ in rows) == brute.dedup_spans(rows, cut, 2, 30, across=False) and len(alone[5]) < 300
+    assert 30 <= len(got[1].split()) < 60 and got[2] == "" and got[3].startswith("one two, " * 15) and len(got[3].split()) < 60
+
+
+def test_key_filter(spark):
+    from ordertide.llm.bloom import key_filter
+    keys = [(k * 0x9E3779B97F4A7C15 + 1 << 63) % (1 << 64) - (1 << 63) for k in range(5000)]
+    held = key_filter(spark.createDataFrame([(k,) for k in keys], "key long"), len(keys))
+    import numpy as np
+    assert held.holds(np.array(keys, dtype=np.int64).view(np.uint64)).all()
+    others = np.random.default_rng(3).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    assert held.holds(others).mean() < 0.05
+    assert not key_filter(spark.createDataFrame([], "key long"), 0).holds(others).any()
 
 
 def test_passage_in_mid_sentence(spark):
@@ -130,7 +155,7 @@ def test_spans_are_all_runs(spark):
     rows = [(1, whole), (2, whole), (3, "".join(sentence() for _ in range(4)) + passage + "Then it goes on. "),
             (4, "".join(sentence() for _ in range(3)) + passage + "And on, but otherwise. "), (5, passage)]
     rows += [(6 + k, "".join(sentence() for _ in range(2)) + whole[:k * 30]) for k in range(4)]
-    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), sentences=2).collect()}
+    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), sentences=2, min_words=15).collect()}
     assert got == _without_repeated_runs(rows, 2, 15)
     assert got[1] == whole and got[2] == "" and got[5] == "" and passage.split()[-1] not in got[4].split()
 
@@ -149,7 +174,7 @@ def test_spans_without_marks(spark):
     rows += [(100, f"这是另一篇文章的开头。{zh}文章在这里结束。"), (101, f"nobody knows who wrote any of it {short} nor what it may be good for"),
              (102, f"这是又一篇文章的开头{plain}文章在这里结束")]
     assert all(b"".join(span_dedup.units(t.encode())) == t.encode() for _, t in rows)
-    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), sentences=2).collect()}
+    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), sentences=2, min_words=15).collect()}
     assert all(not got[10 * k + 2] for k in range(len(parts)))
     assert all(got[10 * k + 1] == t for k, t in enumerate(parts) if k)
     assert got[100] == "这是另一篇文章的开头。文章在这里结束。"
@@ -158,10 +183,10 @@ def test_spans_without_marks(spark):
 
 
 def test_spans_edges(edge, empty):
-    got = span_dedup.dedup_spans(edge, carry=("source",)).collect()
+    got = span_dedup.dedup_spans(edge, carry=("source",), across=False).collect()
     assert len(got) == len(edge_rows())
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] not in (6, 7)}
-    assert by_id[2]["text"] is None and by_id[3]["text"] == "" and by_id[4]["text"] == " \n\t \n"
+    assert "n_removed" in got[0] and by_id[2]["text"] is None and by_id[3]["text"] == "" and by_id[4]["text"] == " \n\t \n"
     assert len(by_id[5]["text"]) < 300 and by_id[5]["n_removed"] > 7000  # the long text repeats itself
 
 
