@@ -13,13 +13,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.functions.numeric import is_finite
 from ordertide.operators.dist import exact_quantiles, order_statistics
 from ordertide.operators.features import CAT_COLS, CLS_NUM_COLS, REG_NUM_COLS, fit_features
+from ordertide.operators.forest import forest
 from ordertide.operators.joins import computed_once, join_small
 from ordertide.session import reliable_checkpoint
 
@@ -33,8 +34,6 @@ HIGH_VALUE_Q = 0.75
 CLS_MIN_ROWS, CLS_MIN_PER_CLASS, CLS_TEST_FRAC = 40, 8, 0.25
 REG_MIN_ROWS, REG_TEST_FRAC, RIDGE_ALPHA = 200, 0.2, 1.0
 FOREST_TREES, FOREST_MIN_LEAF = 250, 2
-FOREST_DEPTH = 30         # Spark's own limit
-FOREST_MEMORY_MB = 1024   # node statistics of one training pass: more nodes a pass, fewer passes
 TOP_IMPORTANCES = 20
 
 
@@ -109,14 +108,15 @@ def linear_solver(size: int) -> str:
 
 
 def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_TEST_FRAC, seed: int = 0,
-                   key_cols=None, label: str = "sales", num_trees: int = FOREST_TREES, max_depth: int = FOREST_DEPTH,
+                   key_cols=None, label: str = "sales", num_trees: int = FOREST_TREES, max_depth: int | None = None,
                    min_rows: int = REG_MIN_ROWS, encoding: str = "onehot", features=None, solver: str | None = None) -> dict:
     """Fit sales on the categorical + postal-code features (or those of them
     in ``features``).
 
     model: 'linear' (OLS), 'ridge' (alpha 1) or 'forest' (random forest,
-    250 trees, min leaf 2, all features per split; the depth is unlimited up
-    to Spark's own limit of 30). Returns {'metrics', 'predictions',
+    250 trees, min leaf 2, all features per split, unlimited depth; columns
+    are split as they are, see forest.py, so its importances are by column).
+    Returns {'metrics', 'predictions',
     'importances', 'feature_names'}, or {'error'} with a reason code and its
     numbers. Predictions carry the key columns as they are in ``df``."""
     from ordertide.sources.sales import ROW_KEY
@@ -127,15 +127,21 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
     data = data.select(*key_cols, *[c for c in feats if c not in key_cols],
                        F.col(label).cast("double").alias("label"))
     # the split table is written once; the row count and every later pass read it
-    split = reliable_checkpoint(split_random(data, test_frac, key_cols, seed))
+    split = reliable_checkpoint(split_random(data, test_frac, key_cols, seed).withColumn("_row", F.monotonically_increasing_id()))
     n = split.count()
     if n < min_rows:
         return {"error": "too_few_rows", "rows": n, "needed": min_rows}
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    fm = fit_features(train, [c for c in CAT_COLS if c in feats], [c for c in REG_NUM_COLS if c in feats], encoding,
-                      applied_to=split)
+    fm = fit_features(train, [c for c in CAT_COLS if c in feats], [c for c in REG_NUM_COLS if c in feats],
+                      "hash" if model == "forest" else encoding, applied_to=split)
     if fm is None:
         return {"error": "no_features", "rows": n}
+    columns = spark.createDataFrame([(i, c) for i, c in enumerate([*fm.cat_cols, *fm.num_cols])], "position int, column string")
+    if model == "forest":
+        pred, imp = _forest(fm, split, test, key_cols, num_trees, max_depth, seed)
+        metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).cast("long").alias("rows"), "*")
+        return {"metrics": metrics, "predictions": pred, "importances": imp, "features": columns,
+                "feature_names": [*fm.cat_cols, *fm.num_cols]}
     tr = fm.transform(train).select(*key_cols, "features", "label")
     te = fm.transform(test).select(*key_cols, "features", "label")
     if model in ("linear", "ridge"):
@@ -148,24 +154,36 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
             reg = RIDGE_ALPHA * (st["sd"] or 0.0) / st["n"]
         est = LinearRegression(featuresCol="features", labelCol="label", regParam=reg, elasticNetParam=0.0,
                                standardization=False, solver=solver, maxIter=1000, tol=1e-6)
-    elif model == "forest":
-        est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                    maxDepth=min(max_depth, FOREST_DEPTH), minInstancesPerNode=FOREST_MIN_LEAF,
-                                    featureSubsetStrategy="all", seed=seed, maxBins=32, subsamplingRate=1.0,
-                                    bootstrap=True, maxMemoryInMB=FOREST_MEMORY_MB, cacheNodeIds=True)
     else:
         raise ValueError(f"unknown model {model!r}")
     fitted = est.fit(tr)
     pred = (fitted.transform(te)
             .select(*key_cols, F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
             .withColumn("residual", F.col("actual") - F.col("predicted")))
-    if model == "forest":
-        imp = _top20(spark, fm, fitted.featureImportances.toArray(), False, "rf")
-    else:
-        imp = _top20(spark, fm, fitted.coefficients.toArray(), True, "linear")
+    imp = _top20(spark, fm, fitted.coefficients.toArray(), True, "linear")
     metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).cast("long").alias("rows"), "*")
-    names = spark.createDataFrame([(i, c) for i, c in enumerate([*fm.cat_cols, *fm.num_cols])], "position int, column string")
-    return {"metrics": metrics, "predictions": pred, "importances": imp, "features": names, "feature_names": fm.names}
+    return {"metrics": metrics, "predictions": pred, "importances": imp, "features": columns, "feature_names": fm.names}
+
+
+def _forest(fm, split: DataFrame, test: DataFrame, key_cols, num_trees: int, max_depth: int | None,
+            seed: int) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the test rows and importances (rank, feature, value,
+    type) of a forest over imputed, otherwise untouched columns."""
+    names = [f"c{i}" for i in range(len(fm.cat_cols))] + [f"x{i}" for i in range(len(fm.num_cols))]
+    values = [F.xxhash64(f"_f_{c}") for c in fm.cat_cols] + [F.col(f"_f_{c}") for c in fm.num_cols]
+    rows = computed_once(fm.impute(split).select(
+        F.col("_row").alias("row"), F.xxhash64(*[_key_text(split, k) for k in key_cols]).alias("key"), F.col("label").alias("y"),
+        "is_test", *[v.alias(n) for v, n in zip(values, names)]))
+    predicted, shares = forest(rows, names, [True] * len(fm.cat_cols) + [False] * len(fm.num_cols), num_trees, FOREST_MIN_LEAF, seed,
+                               max_depth=max_depth)
+    pred = (test.join(predicted.withColumnRenamed("row", "_row"), "_row")
+            .select(*key_cols, F.col("label").alias("actual"), "predicted")
+            .withColumn("residual", F.col("actual") - F.col("predicted")))
+    named = F.create_map(*[F.lit(x) for n, c in zip(names, [*fm.cat_cols, *fm.num_cols]) for x in (n, c)])
+    top = shares.orderBy(F.desc("value"), "feature").limit(TOP_IMPORTANCES)  # at most one row a column
+    ranked = top.select(F.row_number().over(Window.orderBy(F.desc("value"), "feature")).alias("rank"),
+                        F.element_at(named, F.col("feature")).alias("feature"), "value", F.lit("rf").alias("type"))
+    return computed_once(pred), computed_once(ranked)
 
 
 def ideal_line(pred: DataFrame) -> DataFrame:
