@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordertide.functions.numeric import is_finite
+from ordertide.operators.absorb import fit_absorbed
 from ordertide.operators.dist import exact_quantiles, order_statistics
 from ordertide.operators.features import CAT_COLS, CLS_NUM_COLS, REG_NUM_COLS, fit_features
 from ordertide.operators.forest import forest
@@ -133,7 +134,7 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
         return {"error": "too_few_rows", "rows": n, "needed": min_rows}
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     fm = fit_features(train, [c for c in CAT_COLS if c in feats], [c for c in REG_NUM_COLS if c in feats],
-                      "hash" if model == "forest" else encoding, applied_to=split)
+                      "hash" if model == "forest" or solver == "absorb" else encoding, applied_to=split)
     if fm is None:
         return {"error": "no_features", "rows": n}
     columns = spark.createDataFrame([(i, c) for i, c in enumerate([*fm.cat_cols, *fm.num_cols])], "position int, column string")
@@ -142,6 +143,10 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
         metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).cast("long").alias("rows"), "*")
         return {"metrics": metrics, "predictions": pred, "importances": imp, "features": columns,
                 "feature_names": [*fm.cat_cols, *fm.num_cols]}
+    if solver == "absorb":
+        pred, imp = _absorbed(fm, train, test, key_cols, RIDGE_ALPHA if model == "ridge" else 0.0)
+        metrics = regression_metrics(pred).select(F.lit(model).alias("model"), F.lit(n).cast("long").alias("rows"), "*")
+        return {"metrics": metrics, "predictions": pred, "importances": imp, "features": columns}
     tr = fm.transform(train).select(*key_cols, "features", "label")
     te = fm.transform(test).select(*key_cols, "features", "label")
     if model in ("linear", "ridge"):
@@ -165,6 +170,26 @@ def fit_regression(df: DataFrame, model: str = "forest", test_frac: float = REG_
     return {"metrics": metrics, "predictions": pred, "importances": imp, "features": columns, "feature_names": fm.names}
 
 
+def _absorbed(fm, train: DataFrame, test: DataFrame, key_cols, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """Predictions and the largest coefficients of a linear model whose widest
+    categorical column is absorbed (absorb.py): no vocabulary, coefficient
+    vector or Gram matrix of that column leaves the executors."""
+    if not fm.cat_cols:
+        raise ValueError("a categorical column is needed to absorb")
+    cats = [f"_f_{c}" for c in fm.cat_cols]
+    rows = computed_once(fm.impute(train).select(*cats, *[f"_f_{c}" for c in fm.num_cols], "label"))
+    levels = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+    wide = max(cats, key=lambda c: levels[c])
+    fitted = fit_absorbed(rows, wide, [c for c in cats if c != wide], {f"_f_{c}": fm.scales[c] for c in fm.num_cols}, "label", alpha)
+    pred = fitted.predict(fm.impute(test)).select(*key_cols, F.col("label").alias("actual"), "predicted")
+    pred = computed_once(pred.withColumn("residual", F.col("actual") - F.col("predicted")))
+    size = F.abs("value")
+    top = fitted.coefficients().select(F.regexp_replace("feature", "^_f_", "").alias("feature"), "value")
+    top = top.orderBy(size.desc(), "feature").limit(TOP_IMPORTANCES)
+    rank = F.row_number().over(Window.orderBy(size.desc(), "feature"))  # over TOP_IMPORTANCES rows
+    return pred, top.select(rank.alias("rank"), "feature", "value", F.lit("linear").alias("type"))
+
+
 def _forest(fm, split: DataFrame, test: DataFrame, key_cols, num_trees: int, max_depth: int | None,
             seed: int) -> tuple[DataFrame, DataFrame]:
     """Predictions of the test rows and importances (rank, feature, value,

@@ -893,7 +893,8 @@ def _fit(spark, d, kind: str):
         if kind == "classifier":
             return SU.fit_classifier(s)
         model, _, only = kind.partition(":")
-        return SU.fit_regression(s, model, features=only.split(",") if only else None)
+        model, _, solver = model.partition("-")
+        return SU.fit_regression(s, model, features=only.split(",") if only else None, solver=solver or None)
     return _once(spark, d, kind, make)
 
 
@@ -915,6 +916,13 @@ register("feature_importance_linear", None)(
     _reg_query("linear", "importances", "Top-20 OLS coefficients by magnitude."))
 
 
+for _kind in ("linear", "ridge"):
+    register(f"{_kind}_regression_absorbed", None)(
+        _reg_query(f"{_kind}-absorb", "metrics", f"Test-set R2/MAE/RMSE of the {_kind} sales model, product ids absorbed."))
+register("feature_importance_absorbed", None)(
+    _reg_query("ridge-absorb", "importances", "Top-20 ridge coefficients by magnitude, product ids among them."))
+
+
 @register("residual_histogram", None)
 def q_residual_histogram(spark, d):
     """40-bin histogram of the ridge model's test residuals."""
@@ -951,6 +959,28 @@ m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(y, x) * count(*) / (var_pop(x
 p AS (SELECT {KEY}, y AS actual, my + slope * (x - mx) AS predicted FROM r, m WHERE is_test)"""
 
 
+# Ridge on postal code and product id, the product ids eliminated level by level:
+# with intercept a and slope b, each product's effect is (t - n a - s b) / (n + 1).
+_ABSORBED_CTE = f"""r AS (SELECT {KEY}, CAST(sales AS DOUBLE) AS y, postal_code AS x0, {_u_sql()} < 0.2 AS is_test FROM sales WHERE {_FINITE}),
+sd AS (SELECT stddev_pop(x0) AS d FROM r WHERE NOT is_test),
+z AS (SELECT r.*, x0 / d AS x FROM r, sd),
+g AS (SELECT product_id, count(*)::DOUBLE AS n, sum(x) AS s, sum(y) AS t FROM z WHERE NOT is_test GROUP BY product_id),
+a AS (SELECT count(*)::DOUBLE AS n, sum(x) AS x, sum(x * x) AS xx, sum(y) AS y, sum(x * y) AS xy FROM z WHERE NOT is_test),
+e AS (SELECT sum(n * n / (n + 1)) AS nn, sum(n * s / (n + 1)) AS ns, sum(s * s / (n + 1)) AS ss, sum(n * t / (n + 1)) AS nt,
+        sum(s * t / (n + 1)) AS st FROM g),
+q AS (SELECT a.n - nn AS p, x - ns AS q, xx + 1 - ss AS r, y - nt AS u, xy - st AS v FROM a, e),
+c AS (SELECT (u * r - v * q) / (p * r - q * q) AS a, (v * p - u * q) / (p * r - q * q) AS b FROM q),
+p AS (SELECT {", ".join("z." + k.strip() for k in KEY.split(","))}, y AS actual, c.a + c.b * x + coalesce((t - n * c.a - s * c.b) / (n + 1), 0) AS predicted
+      FROM z CROSS JOIN c LEFT JOIN g ON z.product_id = g.product_id WHERE is_test)"""
+
+
+@register("ridge_absorbed_predictions", with_sales(
+    f"SELECT {KEY}, actual, round(predicted, 3) AS predicted, round(actual - predicted, 3) AS residual FROM p", _ABSORBED_CTE))
+def q_ridge_absorbed_predictions(spark, d):
+    """Test rows of the ridge model of sales on postal code and product id, the product ids absorbed."""
+    return _rounded(_fit(spark, d, "ridge-absorb:postal_code,product_id")["predictions"], 3, "predicted", "residual")
+
+
 for _kind, _penalty in (("linear", "0"), ("ridge", "var_pop(x)")):
     def _numeric(spark, d, kind=_kind):
         return _rounded(_fit(spark, d, f"{kind}:postal_code")["predictions"], 3, "predicted", "residual")
