@@ -1368,3 +1368,85 @@ def q_top_products_table(spark, d):
     return t.select("product_name", fmt.currency0(F.col("sales")).alias("sales"),
                     fmt.currency0(F.col("profit")).alias("profit"), fmt.int_cast(F.col("quantity")).alias("quantity"),
                     fmt.int_cast(F.col("orders")).alias("orders"))
+
+
+# --- scale options: one scan, sketches, bins ----------------------------------------------
+
+from ordertide.operators import cube as CU  # noqa: E402
+from ordertide.operators.panels import Panels  # noqa: E402
+
+
+def _panels(spark, d) -> Panels:
+    return _once(spark, d, "panels", lambda: Panels(sales_view(spark, d)))
+
+
+def _cube(spark, d) -> DataFrame:
+    return _once(spark, d, "cube", lambda: computed_once(CU.build_cube(sales_view(spark, d))))
+
+
+for _key in ("order_month", "region", "category"):
+    _twin = REGISTRY["sales_by_month" if _key == "order_month" else f"sales_by_{_key}"].sql
+    register(f"one_scan_sales_by_{_key}", _twin)(lambda spark, d, key=_key: _panels(spark, d).by(key))
+for _name in G.HIERARCHIES:
+    register(f"one_scan_hierarchy_{_name}", REGISTRY[f"sales_hierarchy_{_name}"].sql)(
+        lambda spark, d, name=_name: _panels(spark, d).hierarchy(name))
+
+
+@register("one_scan_totals", with_sales(
+    "SELECT CAST(sum(sales) AS DOUBLE) AS total_sales, CAST(sum(profit) AS DOUBLE) AS total_profit, count(*) AS row_count FROM sales"))
+def q_one_scan_totals(spark, d):
+    """Totals from the same scan as all other one_scan panels."""
+    return _panels(spark, d).totals()
+
+
+def _cube_view(spark, d) -> DataFrame:
+    cells = FL.filter_date_range(_cube(spark, d), *RANGE)
+    return FL.filter_in_dims(cells, regions=REGIONS, categories=CATEGORIES)
+
+
+@register("cube_money", with_sales(
+    "SELECT CAST(coalesce(sum(sales), 0) AS DOUBLE) AS total_sales, CAST(coalesce(sum(profit), 0) AS DOUBLE) AS total_profit, "
+    f"count(*) AS row_count FROM sales WHERE order_date >= TIMESTAMP '{RANGE[0]}' AND order_date < TIMESTAMP '{RANGE[1]}' + INTERVAL 1 DAY "
+    f"AND {_in('region', REGIONS)} AND {_in('category', CATEGORIES)}"))
+def q_cube_money(spark, d):
+    """Sums and rows of a filtered view, from the sketch cube."""
+    return CU.cube_kpis(_cube_view(spark, d)).select("total_sales", "total_profit", "row_count")
+
+
+@register("cube_kpis", None)
+def q_cube_kpis(spark, d):
+    """The KPI row of a filtered view, distinct counts estimated from the cube's sketches."""
+    return CU.cube_kpis(_cube_view(spark, d))
+
+
+@register("cube_boxes", None)
+def q_cube_boxes(spark, d):
+    """Box per category from the cube's quantile sketches."""
+    return CU.cube_boxes(_cube(spark, d), "category")
+
+
+@register("kde_binned", with_sales("""
+SELECT g.point, st.lo + g.point * st.step AS x,
+       round(sum(w.w * exp(-0.5 * pow((st.lo + g.point * st.step - (st.lo + w.bin * st.width)) / st.h, 2)))
+             / (st.n * st.h * sqrt(2 * pi())), 12) AS density
+FROM st, (SELECT CAST(range AS INTEGER) AS point FROM range(500)) g, w
+GROUP BY g.point, st.lo, st.step, st.n, st.h""", f"""v AS (SELECT CAST(sales AS DOUBLE) AS x FROM sales WHERE {_FINITE}),
+s0 AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2) AS h FROM v),
+st AS (SELECT n, lo, (hi - lo) / 500 AS step, h, ceil((hi - lo) / (0.02 * h)) AS bins, (hi - lo) / ceil((hi - lo) / (0.02 * h)) AS width FROM s0),
+p AS (SELECT least(floor((x - lo) / width), bins - 1) AS bin, (x - lo) / width - least(floor((x - lo) / width), bins - 1) AS r FROM v, st),
+w AS (SELECT bin, sum(w) AS w FROM (SELECT bin, 1 - r AS w FROM p UNION ALL SELECT bin + 1, r FROM p) GROUP BY bin)"""))
+def q_kde_binned(spark, d):
+    """Gaussian kernel density of sales over pre-binned values."""
+    return _rounded(DI.kde_binned(sales_view(spark, d), "sales", 500), 12, "density")
+
+
+@register("rug_sample", with_sales(f"""
+SELECT CAST(bin AS INTEGER) AS bin, sales FROM (
+  SELECT bin, x AS sales, row_number() OVER (PARTITION BY bin ORDER BY u, {KEY}) AS i FROM (
+    SELECT {KEY}, CAST(sales AS DOUBLE) AS x, {_u_sql()} AS u,
+      least(floor((CAST(sales AS DOUBLE) - st.lo) / ((st.hi - st.lo) / 60)), 59) AS bin
+    FROM sales, (SELECT min(CAST(sales AS DOUBLE)) AS lo, max(CAST(sales AS DOUBLE)) AS hi FROM sales WHERE {_FINITE}) st WHERE {_FINITE}))
+WHERE i <= 50"""))
+def q_rug_sample(spark, d):
+    """The rug at scale: 50 values of each of 60 histogram bins, drawn by hash."""
+    return DI.rug_sample(sales_view(spark, d), ROW_KEY, "sales", bins=60)
