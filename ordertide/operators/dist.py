@@ -49,6 +49,12 @@ def _position(p: float, n, method: str):
 SELECT_BINS = 1024
 
 
+def _order_of(x: Column) -> Column:
+    """A number that rises with ``x`` as the power of two of its size does; 0 for 0."""
+    least = 5e-324  # the smallest double above 0
+    return F.signum(x) * (F.log2(F.greatest(F.abs(x), F.lit(least))) + 1075)
+
+
 def order_statistics(v: DataFrame, value: str, groups: list[str], wants: Column) -> DataFrame:
     """(group columns, n, want, value): exact order statistics of the non-NULL
     doubles in ``value``. ``wants``: an array of structs (want int, k long) made
@@ -57,9 +63,11 @@ def order_statistics(v: DataFrame, value: str, groups: list[str], wants: Column)
     Selection, not a sort: each wanted position has a range of values that
     holds it. A round counts the values of the range in SELECT_BINS equal bins,
     with map-side combine, and the bin with the position gives the next range -
-    its own least and greatest value. A range of one value is the answer, after
-    two or three rounds as a rule. ``v`` is read by every round, so it should
-    be a narrow stored table."""
+    its own least and greatest value. Ranges over several orders of magnitude
+    are cut into bins of equal orders instead, so values of any size take a
+    few rounds: at most two by order, then one for each 10 bits. A range of one
+    value is the answer, after two or three rounds as a rule. ``v`` is read by
+    every round, so it should be a narrow stored table."""
     keys = [f"_g{i}" for i in range(len(groups))]
     v = v.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).alias("x")).where("x IS NOT NULL")
     state = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -80,7 +88,11 @@ def order_statistics(v: DataFrame, value: str, groups: list[str], wants: Column)
             tagged = v.select("x", F.explode(F.filter(ranges, lambda e: F.col("x").between(e["lo"], e["hi"]))).alias("e"))
             tagged = tagged.select("x", "e.*")
         # halves: hi - lo may exceed the largest double
-        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        even = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        lo, hi = F.abs("lo"), F.abs("hi")
+        wide = (F.col("lo") <= 0) & (F.col("hi") >= 0) | (F.greatest(lo, hi) / SELECT_BINS > F.least(lo, hi))
+        by_order = F.try_divide(_order_of(F.col("x")) - _order_of(F.col("lo")), _order_of(F.col("hi")) - _order_of(F.col("lo")))
+        share = F.when(wide, by_order).otherwise(even)
         bins = (tagged.groupBy(*keys, "want", F.floor(share * SELECT_BINS).alias("bin"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("b_lo"), F.max("x").alias("b_hi"),
                      *[F.first(c).alias(c) for c in ("n", "k", "below")]))

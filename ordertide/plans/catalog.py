@@ -1241,7 +1241,7 @@ def q_elbow_curve(spark, d):
 
 @register("silhouette_curve", None)
 def q_silhouette_curve(spark, d):
-    """Silhouette (squared Euclidean) for the same k's."""
+    """Silhouette (plain Euclidean distances) for the same k's."""
     return _curves(spark, d)[1]
 
 
@@ -1309,6 +1309,17 @@ def q_silhouette_given(spark, d):
     return _rounded(CL.silhouette(_given(spark, d), [f"z_{f}" for f in CL.FEATURES]), 8, "silhouette_sq_euclidean")
 
 
+@register("silhouette_euclidean_given", with_sales(
+    "SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 8) AS silhouette "
+    "FROM (SELECT region, category, max(CASE WHEN same THEN d END) AS own, min(CASE WHEN NOT same THEN d END) AS other FROM ("
+    "SELECT a.region, a.category, a.cluster = b.cluster AS same, avg(sqrt(" + _APART + ")) AS d FROM z a JOIN z b "
+    "ON a.region <> b.region OR a.category <> b.category GROUP BY a.region, a.category, a.cluster, b.cluster) "
+    "GROUP BY region, category)", _GIVEN_CTE))
+def q_silhouette_euclidean_given(spark, d):
+    """Plain Euclidean silhouette of a given assignment (twin: all pairs)."""
+    return _rounded(CL.silhouette_euclidean(_given(spark, d), [f"z_{f}" for f in CL.FEATURES]), 8, "silhouette")
+
+
 # --- formatted tables and cards ---------------------------------------------------------------
 
 @register("kpi_cards_anchored_text", _ytd_anchored_sql("TRUE", "TRUE").replace(
