@@ -4,6 +4,7 @@ parameters, and (where SQL can state it) a DuckDB twin."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -202,17 +203,22 @@ def q_preset_table(spark, d):
     """Every preset's limits with the rows and sales within them."""
     s = sales_view(spark, d)
     lo, hi = FL.bounds(s)
-    spans = [(n, *FL.resolve_preset(n, lo, hi, RANGE)) for n in [*_DAY_SPANS, "custom"]]
-    out = [FL.filter_preset(s, n, RANGE, (lo, hi)).agg(F.count(F.lit(1)).alias("rows"), K.money_sum("sales").alias("sales")).select(
-        F.lit(n).alias("preset"), F.lit(str(a)).cast("timestamp_ntz").alias("start_ts"),
-        F.lit(str(b)).cast("timestamp_ntz").alias("end_ts"), "rows", "sales") for n, a, b in spans]
-    out += [FL.filter_trailing_preset(s, n, hi).agg(F.count(F.lit(1)).alias("rows"), K.money_sum("sales").alias("sales")).select(
-        F.lit(n).alias("preset"), D.ts_literal(FL.trailing_start(n, hi)).alias("start_ts"), D.ts_literal(hi).alias("end_ts"),
-        "rows", "sales") for n in _TRAILING_SPANS]
-    table = out[0]
-    for t in out[1:]:
-        table = table.unionByName(t)
-    return table
+    c, day = F.col("order_date"), dt.timedelta(days=1)
+    spans = []
+    for n in [*_DAY_SPANS, "custom"]:
+        first, last = FL.resolve_preset(n, lo, hi, RANGE)
+        end = D.to_datetime(last)
+        spans.append((n, F.lit(str(first)).cast("timestamp_ntz"), F.lit(str(last)).cast("timestamp_ntz"),
+                      (c >= D.ts_literal(D.midnight(D.to_datetime(first)))) & (c < D.ts_literal(D.midnight(end) + day))))
+    for n in _TRAILING_SPANS:
+        start = FL.trailing_start(n, hi)
+        spans.append((n, D.ts_literal(start), D.ts_literal(hi), (c >= D.ts_literal(start)) & (c <= D.ts_literal(hi))))
+    # one pass: a conditional count and sum for each preset
+    sums = s.agg(*[x for i, (*_, within) in enumerate(spans) for x in (
+        F.count(F.when(within, F.lit(1))).alias(f"n{i}"), K.money_sum(F.when(within, F.col("sales"))).alias(f"s{i}"))])
+    return sums.select(F.explode(F.array(*[F.struct(
+        F.lit(n).alias("preset"), a.alias("start_ts"), b.alias("end_ts"), F.col(f"n{i}").alias("rows"), F.col(f"s{i}").alias("sales"))
+        for i, (n, a, b, _) in enumerate(spans)])).alias("p")).select("p.*")
 
 
 # Text files below the session's checkpoint folder: written from the fact, read back.
