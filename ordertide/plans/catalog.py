@@ -1467,3 +1467,12 @@ WHERE i <= 50"""))
 def q_rug_sample(spark, d):
     """The rug at scale: 50 values of each of 60 histogram bins, drawn by hash."""
     return DI.rug_sample(sales_view(spark, d), ROW_KEY, "sales", bins=60)
+
+
+from ordertide.operators.threshold import top_n_threshold  # noqa: E402
+
+
+@register("top_n_products_threshold", REGISTRY["top_n_products"].sql)
+def q_top_n_products_threshold(spark, d):
+    """Top 10 product names by sales, by the threshold algorithm."""
+    return top_n_threshold(sales_view(spark, d), "product_name", 10)
