@@ -5,7 +5,9 @@ Tokens are words with runs of ASCII punctuation split off. Their unigrams and
 bigrams are hashed into a fixed number of buckets. One multinomial over the
 buckets is counted over the whole corpus, one over trusted documents; a
 document's score is the sum of its n-grams' log ratios (trusted over corpus)
-divided by their number, and every document is held to one threshold.
+divided by their number, and every document is held to one threshold. Ratios
+of seldom n-grams are drawn to 0, so scores hardly depend on the number of
+buckets, and a new word says little.
 
 Scale: the counts are one map-side aggregation (its shuffle holds at most
 tasks * buckets rows); the ratios, one per bucket, are a constant of the
@@ -54,23 +56,25 @@ def with_grams(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("grams", F.transform("grams", lambda h: F.pmod(h, F.lit(buckets)).cast("int")))
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int, smoothing: float = 1.0,
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int, prior: float = 16.0,
                max_bytes: int = BROADCAST_MAX_BYTES) -> list[int]:
     """For each bucket, UNIT times the log of its share in the trusted
-    documents over its share in all documents. ``trusted_ids``: distinct
-    doc_id, any number; broadcast up to ``max_bytes``."""
+    documents over its share in all documents. Each bucket's trusted count is
+    drawn to the corpus by ``prior`` n-grams at the mean ratio, so that seldom
+    and unseen n-grams weigh little, however many buckets there are.
+    ``trusted_ids``: distinct doc_id, any number; broadcast up to ``max_bytes``."""
     t = broadcast_if_small(stored(trusted_ids.select(F.col("doc_id").alias("__trusted")), "llr-trusted"), max_bytes)
     d = docs.join(t, F.col("doc_id") == F.col("__trusted"), "left")
     d = with_grams(d.select("text", F.col("__trusted").isNotNull().cast("long").alias("trusted")), buckets)
     # explode() would have the optimizer compute the n-grams again, for a filter on empty arrays
     counted = (d.select(F.explode_outer("grams").alias("bucket"), "trusted").groupBy("bucket")
                .agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("t")).collect())  # <= buckets + 1 rows
-    seen = {r["bucket"]: (r["n"], r["t"]) for r in counted if r["bucket"] is not None}
-    n_all, n_trusted = (sum(x[i] for x in seen.values()) + smoothing * buckets for i in (0, 1))
-    out = []
-    for b in range(buckets):
-        n, t = seen.get(b, (0, 0))
-        out.append(round(UNIT * (math.log((t + smoothing) / n_trusted) - math.log((n + smoothing) / n_all))))
+    out, seen = [0] * buckets, [r for r in counted if r["bucket"] is not None]
+    if not (n_trusted := sum(r["t"] for r in seen)):
+        return out
+    share = n_trusted / sum(r["n"] for r in seen)
+    for r in seen:
+        out[r["bucket"]] = round(UNIT * math.log((r["t"] + prior * share) / ((r["n"] + prior) * share)))
     return out
 
 
@@ -116,16 +120,18 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1 << 14, threshold: float = -0.15,
+def judge(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1 << 18, threshold: float = -0.15,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, score (mean log ratio of the
     n-grams), kept (rules passed and score >= ``threshold``).
 
     Null texts count as empty: no word, score 0, rules failed. Without trusted
-    documents all ratios are near 0, so the rules alone decide. Null ids are
+    documents all ratios are 0, so the rules alone decide. Null ids are
     judged like others and never trusted; rows with equal ids are each trusted
-    if one is. Empty tables give empty results; other columns are not read."""
+    if one is. A text is read whole, as arrays of hashes in one row of one task:
+    some 60 bytes a word. Empty tables give empty results; other columns are not
+    read."""
     d = pick(docs, doc_id=id_col, text=text_col)
     ratios = log_ratios(d, trusted_ids, buckets)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")

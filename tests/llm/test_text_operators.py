@@ -207,7 +207,7 @@ def test_rules_edges(edge):
 
 
 def test_ratio_by_hand(spark):
-    """Scores are mean log ratios of hashed unigrams and bigrams."""
+    """Scores are mean log ratios of hashed unigrams and bigrams, with 16 n-grams at the mean ratio added to each bucket."""
     import math
     from collections import Counter
     docs = [(1, "good words here and good words there"), (2, "good words here too"), (3, "## bad ## bad ## bad"), (4, "good bad")]
@@ -216,9 +216,9 @@ def test_ratio_by_hand(spark):
     rows = {r["doc_id"]: r["grams"] for r in quality_llr.with_grams(d, 64).collect()}
     assert {i: len(g) for i, g in rows.items()} == {1: 13, 2: 7, 3: 11, 4: 3}
     every, t = Counter(g for x in rows.values() for g in x), Counter(g for i in (1, 2) for g in rows[i])
-    n, m = sum(every.values()) + 64, sum(t.values()) + 64
+    share = sum(t.values()) / sum(every.values())
     for i, grams in rows.items():
-        want = sum(math.log((t[g] + 1) / m) - math.log((every[g] + 1) / n) for g in grams) / len(grams)
+        want = sum(math.log((t[g] + 16 * share) / (every[g] + 16) / share) for g in grams) / len(grams)
         assert abs(got[i] - want) < 1e-4
     assert got[1] > 0 > got[3]
 
@@ -244,6 +244,25 @@ def test_quality_agrees_with_labels(spark):
     assert right >= 0.97 * len(labels)
 
 
+def test_quality_of_documents_never_trusted(spark):
+    """Labels of documents that gave no target counts are met, and twice the buckets change next to no verdict."""
+    from pyspark.sql import functions as F
+    docs, labels = (queries.read_corpus(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    trusted = quality_llr.trusted(labels.where(~held))
+    got, twice = ({r["doc_id"]: r["kept"] for r in quality_llr.judge(docs, trusted, **o).collect()} for o in ({}, {"buckets": 1 << 19}))
+    want = {r["doc_id"]: r["quality"] == 1 for r in labels.where(held & F.col("quality").isNotNull()).collect()}
+    assert sum(got[i] == q for i, q in want.items()) >= 0.97 * len(want)
+    assert sum(got[i] != twice[i] for i in got) <= 0.005 * len(got)
+
+
+def test_very_long_text_is_judged(spark):
+    """A text of 400,000 words is read whole."""
+    d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400_000))), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_llr.judge(d, spark.createDataFrame([(2,)], "doc_id long")).collect()}
+    assert (got[1]["n_words"], got[1]["n_repeat_words"], got[1]["kept"]) == (400_000, 0, True) and not got[2]["kept"]
+
+
 def test_mix_small(spark, small):
     got = {r["doc_id"]: r for r in queries.op1_mix_sources(spark, SMALL).collect()}
     want = brute.mix(small)
