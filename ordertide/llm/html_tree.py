@@ -6,9 +6,12 @@ forms, menus, footers, sidebars, adverts, notices, reader comments, hidden
 elements) are marked by tag, role and the words of class and id; by words
 alone only what, read to its end, doesn't look like the page's text. Every block
 of text passes points for its length and commas to its ancestors, less with
-each level; a container's points are discounted by its link density. The best
-container (or the article element around it) is kept with the siblings that
-score or read like it.
+each level; a title beside other text gives its container some more, and a container's
+points are discounted by its link density. The best container (or the article
+element around it) is kept with the siblings that score or read like it; beside
+an article element these are what stands before it and articles with half of its
+earned points. Boxes of links are menus, but not the lists within the best
+container's prose.
 
 Each page is read by itself in one Arrow pass: no shuffle, and memory is
 bounded by a batch of pages.
@@ -70,15 +73,19 @@ GOOD_NAMES = set("article body content main post entry story text blog page hent
 TAG_POINTS = {"article": 25, "main": 25, "div": 5, "section": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3,
               "dl": -3, "form": -3, "li": -3, "dd": -3, "dt": -3, "address": -3, "th": -5, "table": -3}
 NAME_POINTS = 25
+#: For a container that holds its own title and other text beside it.
+TITLE_POINTS = 12
+LISTS = {"ul", "ol", "dl"}
+MENU_TAGS = LISTS | set("div section table tr td".split())
 COMMAS = re.compile("[,،、，;]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "form", "names", "points", "chars", "links", "n_links", "at", "named")
+    __slots__ = ("tag", "parent", "dropped", "form", "names", "points", "earned", "chars", "links", "n_links", "at", "named")
 
     def __init__(self, tag, parent, dropped, form, names, at):
         self.tag, self.parent, self.dropped, self.form, self.names, self.at = tag, parent, dropped, form, names, at
-        self.points, self.chars, self.links, self.n_links, self.named = 0.0, 0, 0, 0, set()
+        self.points, self.earned, self.chars, self.links, self.n_links, self.named = 0.0, 0.0, 0, 0, 0, set()
 
     def ancestors(self):
         n = self
@@ -96,7 +103,7 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for w in NAME_WORDS.findall(both)} if len(both) > 1 else set()
 
 
-def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_dropped(tag: str, attributes: dict[str, str], names: set[str], in_article: bool) -> bool:
     if attributes:
         if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
             return True
@@ -104,6 +111,8 @@ def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
             return True
         if tag not in ARTICLE and tag != "body" and attributes.get("role", "").lower() in DROPPED_ROLES:
             return True
+    if tag == "aside" and in_article and names and not names & DROPPED_NAMES:
+        return False  # a part of the article with a name of its own, such as a quotation
     return tag in DROPPED or tag == "header" and not in_article
 
 
@@ -228,7 +237,7 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node
                 state["link"] = 1
                 state["n_links"] += 1
             if attributes and len(stack) < MAX_DEPTH and (
-                    _is_dropped(tag, attributes, True)
+                    _is_dropped(tag, attributes, names, True)
                     or by_name and not names & GOOD_NAMES and _drop_words(tag, attributes, names, True)):
                 stack.append(Node(tag, stack[-1], True, False, names, len(nodes)))
             continue
@@ -243,7 +252,7 @@ def blocks(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node
             continue
         top = stack[-1]
         in_article = any(n.tag in ARTICLE for n in top.ancestors())
-        node = Node(tag, top, top.dropped or _is_dropped(tag, attributes, in_article), top.form or tag == "form",
+        node = Node(tag, top, top.dropped or _is_dropped(tag, attributes, names, in_article), top.form or tag == "form",
                     names, len(nodes))
         if by_name:
             node.named = _drop_words(tag, attributes, names, in_article)
@@ -264,11 +273,15 @@ def _score(nodes: list[Node], found: list[tuple[Node, str, int, int]]) -> None:
         points = (len(t) >= 25) + len(COMMAS.findall(t)) + min(len(t) / 100, 3)
         first = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
         for level, a in enumerate(first.ancestors()):
-            a.points += points / (level + 1)
+            a.earned += points / (level + 1)
         for a in node.ancestors():
             a.chars += len(t)
             a.links += linked
             a.n_links += n_links
+    beside = {id(node.parent) for node, *_ in found if node.tag not in HEADINGS}
+    titled = {id(node.parent): node.parent for node, t, linked, _ in found if node.tag == "h1" and 2 * linked < len(t)}
+    for n in nodes:
+        n.points += n.earned + TITLE_POINTS * (id(n) in titled and id(n) in beside and n.parent is not None)
 
 
 def _density(n: Node) -> float:
@@ -291,21 +304,29 @@ def _main_text(page: str, by_name: bool) -> str:
     if not found:
         return ""
     _score(nodes, found)
-    # lists and boxes that are links in the main are menus
-    menus = {id(n) for n in nodes if n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.n_links >= 3
-             and _density(n) > 0.6}
-    found = [b for b in found if not any(id(a) in menus for a in b[0].ancestors())] or found
     total = lambda n: n.points * (1 - _density(n))
-    candidates = {id(a): a for b in found for a in b[0].ancestors() if a.tag not in PARAGRAPH}
+    menus = [n for n in nodes if n.tag in MENU_TAGS and n.n_links >= (2 if n.tag in ("td", "tr") else 3) and _density(n) > 0.6]
+    inside = lambda b, ids: any(id(a) in ids for a in b[0].ancestors())
+    text = [b for b in found if not inside(b, {id(n) for n in menus})] or found
+    candidates = {id(a): a for b in text for a in b[0].ancestors() if a.tag not in PARAGRAPH}
     best = max(candidates.values(), key=lambda n: (total(n), -n.at))
+    # lists of links stay where the container's prose goes on behind them, or at the end of an article
+    prose = [b[0].at for b in text if len(b[1]) >= 25 and inside(b, {id(best)})]
+    ends = float("inf") if best.tag == "article" else max(prose, default=0)
+    listed = {id(n) for n in menus if n.tag in LISTS and inside((n,), {id(best)}) and min(prose, default=ends) < n.at < ends}
+    found = [b for b in found if not inside(b, {id(n) for n in menus} - listed)] or found
     best = next((a for a in best.ancestors() if a.tag in ARTICLE), best)
     kept, limit = {id(best)}, max(10.0, 0.2 * total(best))
     for n in nodes:
         if n.parent is best.parent and n.parent is not None and n is not best and not n.dropped and n.chars:
             reads = n.tag == "p" and (n.chars > 80 and _density(n) < 0.25 or n.links == 0 and best.tag not in ARTICLE)
-            if reads or n.tag in HEADINGS and n.at < best.at or n.tag not in PARAGRAPH and total(n) >= limit:
+            like = n.tag not in PARAGRAPH and total(n) >= limit
+            if best.tag in ARTICLE:
+                like = like and n.tag in ARTICLE and n.earned * (1 - _density(n)) >= 0.5 * best.earned * (1 - _density(best))
+                reads = reads and n.at < best.at
+            if reads or like or n.tag in HEADINGS and n.at < best.at:
                 kept.add(id(n))
-    return "\n".join(t for node, t, *_ in found if any(id(a) in kept for a in node.ancestors()))
+    return "\n".join(b[1] for b in found if inside(b, kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]):
