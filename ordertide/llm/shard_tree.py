@@ -1,8 +1,9 @@
 """Sharding by a hierarchical weighted hash tree.
 
 Shards are leaves of regions and racks. A document descends region, rack,
-shard; at each level every child draws -ln(u) / weight, with u from a hash of
-the document's key, the level and the child's number, and the least draw wins.
+shard; at each level every child draws -ln(u) / weight, with u from the MD5 of
+the document's key, the level and the child's number (which any program can draw
+again), and the least draw wins.
 A child's draw depends on its own weight only, so a changed weight moves
 documents only into or out of the subtrees whose weights change: growing by a
 region of its own takes documents into the new shard and from nowhere to
@@ -41,8 +42,9 @@ def grown(tree: Tree, weight: float = 1.0) -> Tree:
 
 
 def _draw(key: Column, level: int, child: Column, weight: Column) -> Column:
-    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), child), 11).cast("double")
-    return -F.log((h + 0.5) / F.lit(float(2 ** 53))) / weight
+    """-ln(u) / weight, with u from 52 bits of the MD5 of "key:level:child"."""
+    h = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(level)), child.cast("string")))
+    return -F.log((F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))) / weight
 
 
 def _least(key: Column, level: int, children: Column) -> Column:
@@ -83,10 +85,12 @@ def shard(docs: DataFrame, tree: Tree, buckets: int = 1024, id_col: str = "doc_i
     The id alone decides the shard: rows with equal ids (null ids too) go to
     one shard; equal rows take any of their slots. Slots are the same at every
     run except among rows with equal id and text. Empty tables give empty
-    results. Other columns of ``docs`` are not read."""
+    results. Texts of any length are only measured and summed up by crc32. Other
+    columns of ``docs`` are not read."""
     d = pick(docs, doc_id=id_col, text=text_col)
     placed = lambda x: x.withColumn("shard", descend(F.col("doc_id"), tree)).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int"))
+        "bucket", (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":slot"))), 1, 6),
+                         16, 10).cast("int") % buckets).cast("int"))
     rows = placed(d).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)
     rows = rows.withColumn("text_crc32", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))))
     rows = rows.withColumn("grown_shard", descend(F.col("doc_id"), grown(tree)))

@@ -176,3 +176,20 @@ def cosine_links(rows, threshold=0.93):
     for r, row in zip(root, rows):
         ids[r] += [row[0]] if row[0] is not None else []
     return [(n[i], min(ids[r], default=None)) for i, r in enumerate(root)]
+
+
+def shard_of(key, tree):
+    """The shard of a key in a tree of regions of racks of (shard, weight)."""
+    def least(level, children):  # (child number, weight, what is below)
+        def draw(number, weight):
+            h = hashlib.md5(f"{'' if key is None else key}:{level}:{number}".encode()).hexdigest()
+            return -math.log((int(h[:13], 16) + 0.5) / 2 ** 52) / weight
+        return min(children, key=lambda c: (draw(c[0], c[1]), c[0]))
+
+    weight = lambda racks: sum(w for rack in racks for _, w in rack)
+    n, regions = 0, []
+    for r, region in enumerate(tree):
+        regions.append((r, weight(region), [(n + k, weight([rack]), rack) for k, rack in enumerate(region)]))
+        n += len(region)
+    rack = least(2, least(1, regions)[2])[2]
+    return least(3, [(s, w, None) for s, w in rack])[0]

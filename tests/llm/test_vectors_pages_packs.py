@@ -164,6 +164,30 @@ def test_names_alone_drop_no_text(page, held, gone):
     assert all(x in got for x in held) and not any(x in got for x in gone)
 
 
+STORY = "<h1>The title</h1>" + LONG_P + LONG_P.replace("A long", "Another") + LONG_P.replace("A long", "A third")
+SHORT = "<p>Well said, and so true, I think, my friend.</p>"
+
+
+@pytest.mark.parametrize("page, held, gone", [
+    (f"<article>{STORY}</article><div class='discussion'><h2>12 responses</h2>{SHORT * 3}</div>", ["Another"], ["responses", "Well"]),
+    (f"<main><article>{STORY}</article><article class='card'><h2>Other story</h2><p>Teaser, with a few words, and no more.</p></article>"
+     "</main>", ["The title", "A third"], ["Other", "Teaser"]),
+    (f"<article>{STORY}<h2>References</h2><ul><li><a href=a>First source</a><li><a href=b>Second source</a><li><a href=c>Third source"
+     "</a></ul></article>", ["References", "First source\nSecond source\nThird source"], []),
+    (f"<article>{LONG_P}<aside class='pullquote'>Nobody takes it for a menu.</aside>{LONG_P}<aside>Side</aside>"
+     "<aside class='related'>More</aside></article>", ["Nobody takes it for a menu."], ["Side", "More"]),
+    (f"<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td>{STORY}</td></tr></table>", ["The title", "A third"], ["Home"]),
+    ("<div><h1>Title</h1><p>Short.</p></div><div class='box'><p>One longer sentence, which is about something else.</p></div>",
+     ["Title\nShort."], ["One longer"]),
+    (f"<div><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul>{STORY}<ul><li><a href=a>Go</a><li><a href=b>On"
+     "</a><li><a href=c>Reading</a></ul></div>", ["Another"], ["Home", "Reading"]),
+    (f"<main><article>{STORY}</article><article>{STORY.replace('title', 'second')}</article></main>", ["The title", "The second"], []),
+])
+def test_the_tree_decides(page, held, gone):
+    got = html_tree.main_text(page)
+    assert all(x in got for x in held) and not any(x in got for x in gone)
+
+
 @pytest.mark.parametrize("tag", "svg object canvas noscript template select audio video".split())
 def test_unclosed_elements_hide_nothing(tag):
     assert html_tree.main_text(f"<body><{tag}>no</{tag}><{tag}><article>{LONG_P}</article></body>") == LONG_P[3:-4]
@@ -296,6 +320,16 @@ def test_shards(spark, edge, empty):
     assert len(got) == len(rows) and shard_tree.shard(empty, shard_tree.balanced_tree(5)).count() == 0
 
 
+def test_shards_by_hand(spark, edge):
+    """Every shard, with 24 and with 25, from a plain descent of the tree; uneven trees and null ids too."""
+    tree = shard_tree.balanced_tree(queries.SHARDS)
+    for r in queries.op10_shard_tree(spark, SMALL).collect():
+        assert (r["shard"], r["grown_shard"]) == (brute.shard_of(r["doc_id"], tree), brute.shard_of(r["doc_id"], shard_tree.grown(tree)))
+    uneven = [[[(0, 1.0), (1, 3.0)], [(2, 2.0)]], [[(3, 2.0), (4, 0.5), (5, 1.0)]]]
+    got = shard_tree.shard(edge, uneven).collect()
+    assert len({r["shard"] for r in got}) > 1 and all(r["shard"] == brute.shard_of(r["doc_id"], uneven) for r in got)
+
+
 def test_draws_follow_weights(spark):
     """Shares follow weights, and a change moves documents only into or out of
     the subtrees whose weights change."""
