@@ -307,14 +307,17 @@ def _main_text(page: str, by_name: bool) -> str:
     total = lambda n: n.points * (1 - _density(n))
     menus = [n for n in nodes if n.tag in MENU_TAGS and n.n_links >= (2 if n.tag in ("td", "tr") else 3) and _density(n) > 0.6]
     inside = lambda b, ids: any(id(a) in ids for a in b[0].ancestors())
-    text = [b for b in found if not inside(b, {id(n) for n in menus})] or found
+    boxes = {id(n) for n in menus}
+    text = [b for b in found if not inside(b, boxes)] or found
     candidates = {id(a): a for b in text for a in b[0].ancestors() if a.tag not in PARAGRAPH}
     best = max(candidates.values(), key=lambda n: (total(n), -n.at))
     # lists of links stay where the container's prose goes on behind them, or at the end of an article
-    prose = [b[0].at for b in text if len(b[1]) >= 25 and inside(b, {id(best)})]
+    within = {id(best)}
+    prose = [b[0].at for b in text if len(b[1]) >= 25 and inside(b, within)]
     ends = float("inf") if best.tag == "article" else max(prose, default=0)
-    listed = {id(n) for n in menus if n.tag in LISTS and inside((n,), {id(best)}) and min(prose, default=ends) < n.at < ends}
-    found = [b for b in found if not inside(b, {id(n) for n in menus} - listed)] or found
+    begins = min(prose, default=ends)
+    boxes -= {id(n) for n in menus if n.tag in LISTS and begins < n.at < ends and inside((n,), within)}
+    found = [b for b in found if not inside(b, boxes)] or found
     best = next((a for a in best.ancestors() if a.tag in ARTICLE), best)
     kept, limit = {id(best)}, max(10.0, 0.2 * total(best))
     for n in nodes:
