@@ -103,13 +103,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: s
     lines joined by \\n), n_lines, n_dropped.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.
-    Keys of at least ``min_chars`` code points in at least ``min_docs`` rows
-    lose all their lines but those in the row with the largest id (``keep`` =
-    "first": the smallest). Null and empty texts are one empty line. Each row
-    is a document: rows that share an id count one each, and share the fate
-    of their lines. A null id is smaller than all others ("first": larger).
-    Empty tables give empty results. Names in ``carry`` must differ from the
-    result's own; other columns of ``docs`` are not read.
+    Keys of at least ``min_chars`` code points in at least ``min_docs``
+    documents lose all their lines but those in the largest id (``keep`` =
+    "first": the smallest). Null and empty texts are one empty line; texts of
+    any length are split whole, in the memory of one text and its lines. Rows
+    that share an id are one document: they count once, and share the fate
+    of their lines. Rows without an id are one document, too; its id is
+    smaller than all others ("first": larger). Empty tables give empty
+    results. Names in ``carry`` must differ from the result's own; other
+    columns of ``docs`` are not read.
 
     ``max_bits`` bounds the filter that is sent to all tasks (2^30 bits: 128
     MB); beyond it more lines are confirmed exactly, none is lost."""
@@ -123,7 +125,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: s
         _suspects(seen, min_chars), f"doc_id {id_type}, digest binary"), "line-suspects")
     seen.release()
     best = F.max("doc_id") if keep == "last" else F.min("doc_id")
-    confirmed = stored(suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("keeper"))
+    confirmed = stored(suspects.groupBy("digest").agg(F.count_distinct(F.struct("doc_id")).alias("n"), best.alias("keeper"))
                        .where(F.col("n") >= min_docs).select("digest", "keeper"), "line-confirmed")
     lost = (suspects.join(confirmed, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
             .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("digest").alias("lost")))

@@ -68,7 +68,7 @@ def dedup_lines(rows, min_chars=40, min_docs=5):
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
                 found[k].append(i)
-    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in found.items() if len(v) >= min_docs}
+    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in found.items() if len(set(v)) >= min_docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")

@@ -16,7 +16,8 @@ def edge_rows():
             (4, " \n\t \n", "en", None, 4), (None, "A text without an id, but with words enough to count as one.", "en", "a", 1),
             (5, LONG, "de", "c", 9), (6, "twice the same row\n" + SHARED, "en", "a", 1), (6, "twice the same row\n" + SHARED, "en", "a", 1),
             (7, "one id, two texts\n" + SHARED, "en", None, 1), (7, "one id, another text\n" + SHARED.upper(), "en", "b", 1),
-            (8, "  " + SHARED + "\t", "fr", "b", 1), (9, "Élan vital, naïveté, 日本語 and 🙂 in one text", "fr", "c", 3)]
+            (8, "  " + SHARED + "\t", "fr", "b", 1), (9, "Élan vital, naïveté, 日本語 and 🙂 in one text", "fr", "c", 3),
+            (10, "a fifth document\n" + SHARED, "fr", "c", 2)]
     return rows
 
 
