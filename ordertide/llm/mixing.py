@@ -41,6 +41,12 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
 
 
+def row_hash(id_col: str, text_col: str, source_col: str) -> Column:
+    """64 bits of id, text and source, nulls apart from empty values."""
+    c = [F.col(f"`{n}`").cast("string") for n in (id_col, text_col, source_col)]
+    return F.xxhash64(*c, *[x.isNull() for x in c])
+
+
 def source_targets(sizes: DataFrame, weights: tuple, budget: float, max_epochs: float) -> DataFrame:
     """Add ``target`` to one row per source (src_null, src, source_size).
 
@@ -71,11 +77,12 @@ def mix(docs: DataFrame, weight: Column | None = None, source_weights: tuple = (
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size (words), source_size,
     target (of its source), copies (times the mix takes it), taken (copies *
-    size). ``weight``: a column expression over ``docs``, above zero (default:
+    size), row_hash (of id, source and text, for ``take``). ``weight``: a column expression over ``docs``, above zero (default:
     ``symbol_weight``); null or not positive counts as 0.05.
 
-    Null texts have size 0. Null sources are one source, ordered last. Rows
-    with equal ids draw equal keys and are ordered by size; fully equal rows
+    Null texts have size 0; texts of any length are counted whole. Null
+    sources are one source, ordered last. Rows with equal ids draw equal keys
+    and are ordered by size and row_hash; rows equal in id, source and text
     are exchangeable. Empty tables give empty results. Other columns of
     ``docs`` are not read."""
     w = (symbol_weight(text_col) if weight is None else weight).cast("double")
@@ -84,12 +91,13 @@ def mix(docs: DataFrame, weight: Column | None = None, source_weights: tuple = (
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), src.isNull().cast("int").alias("src_null"),
                        F.coalesce(src, F.lit("")).alias("src"),
                        F.size(words(F.col(f"`{text_col}`"))).cast("long").alias("size"),
+                       row_hash(id_col, text_col, source_col).alias("row_hash"),
                        (-F.log(uniform(F.col(f"`{id_col}`"), seed)) / w).alias("key"))
     rows = rows.withColumn("bucket", F.floor(F.log("key") * buckets_per_e))
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("src_null", "src").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, source_weights, budget, max_epochs)
-    out = bucket_rank(rows, ["src_null", "src"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size"],
+    out = bucket_rank(rows, ["src_null", "src"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size", "row_hash"],
                       value="size", per_group=targets)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     out = out.withColumn("epochs", whole.cast("long"))
@@ -98,14 +106,33 @@ def mix(docs: DataFrame, weight: Column | None = None, source_weights: tuple = (
     chosen = (F.col("before") < F.col("rest")) & (end - F.col("rest") <= F.col("rest") - F.col("before"))
     out = out.withColumn("copies", F.col("epochs") + chosen.cast("long"))
     return out.select("doc_id", F.when(F.col("src_null") == 0, F.col("src")).alias("source"), "size", "source_size",
-                      "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each document of ``docs`` as often as ``mixed`` says.
-    Rows are matched by id (null matches null); where several rows share an
-    id, each is repeated by the most copies that any of them got."""
-    copies = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+                      "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row_hash")
+
+
+def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         source_col: str = "source") -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as ``mixed`` (a ``mix`` of
+    the same columns) says.
+
+    Rows are matched by id (null matches null) and row_hash. Rows equal in id,
+    source and text share what any of them drew as evenly as whole copies
+    allow; what is left over goes to the first by a hash of all columns. So a
+    source's taken words are those of ``mixed``, whatever repeats. Empty tables
+    give empty results."""
+    drawn = mixed.groupBy(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")).agg(
+        F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0")
+    drawn = drawn.withColumn("even", F.floor(F.col("total") / F.col("rows")).cast("long"))
+    drawn = stored(drawn.withColumn("more", F.col("total") - F.col("even") * F.col("rows")), "mix-drawn")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of ``docs`` can't clash within
-    d = docs.select(F.col(f"`{id_col}`").alias("own_id"), row).join(copies, F.col("own_id").eqNullSafe(F.col("id")))
-    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    d = docs.select(F.col(f"`{id_col}`").alias("own_id"), row_hash(id_col, text_col, source_col).alias("own_hash"), row)
+    d = d.join(drawn, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    even = d.where("even > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("even")))).select("row")
+    if drawn.where("more > 0").isEmpty():  # no row repeats, or all that do were drawn alike
+        return even.select("row.*")
+    # equal rows that share an uneven draw are counted first, so a hot group is few rows
+    alike = d.where("more > 0").groupBy("own_id", "own_hash", "more", "row").agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("own_id", "own_hash").orderBy(F.xxhash64("row"), "row")
+    first = F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = alike.withColumn("n", F.least(F.col("n"), F.col("more") - first)).where("n > 0")
+    more = more.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row")
+    return even.unionByName(more).select("row.*")

@@ -2,6 +2,7 @@
 plain Python, on a small table and on edge cases."""
 
 import hashlib
+from collections import Counter
 
 import brute
 import pytest
@@ -209,7 +210,6 @@ def test_rules_edges(edge):
 def test_ratio_by_hand(spark):
     """Scores are mean log ratios of hashed unigrams and bigrams, with 16 n-grams at the mean ratio added to each bucket."""
     import math
-    from collections import Counter
     docs = [(1, "good words here and good words there"), (2, "good words here too"), (3, "## bad ## bad ## bad"), (4, "good bad")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in quality_llr.judge(d, spark.createDataFrame([(1,), (2,)], "doc_id long"), buckets=64).collect()}
@@ -290,6 +290,43 @@ def test_mix_edges(edge):
     assert abs(sum(own[0]["target"] for own in by_source.values()) - 1.5 * total) < 1e-6
     taken = mixing.take(edge.select("doc_id", "text", "source"), got)
     assert taken.columns == ["doc_id", "text", "source"]
+    words_of = lambda rows: Counter({s: sum(len(brute.words(r["text"])) for r in rows if r["source"] == s)
+                                     for s in {r["source"] for r in rows}})
+    assert words_of(taken.collect()) == Counter({s: sum(r["taken"] for r in own) for s, own in by_source.items()})
+
+
+def test_take_rows_that_repeat(spark):
+    """Rows that share an id, have none, or are equal are taken as often as the
+    mixture drew them, whatever their other columns say."""
+    rows = [(i % 9 if i % 4 else None, f"text {i % 13} " * (1 + i % 5), "ab"[i % 2], f"lang{i % 3}") for i in range(120)]
+    rows += [(7, "the same row again and again", "a", "en")] * 31
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    for budget in (0.3, 1.1, 1.5):
+        mixed = mixing.mix(d, source_weights=(1, 1), budget=budget)
+        want = Counter()
+        for r in mixed.collect():
+            want[r["doc_id"], r["source"], r["row_hash"]] += r["copies"]
+        taken = mixing.take(d, mixed)
+        assert taken.columns == d.columns
+        got = Counter((r["doc_id"], r["source"], r["h"]) for r in taken.withColumn(
+            "h", mixing.row_hash("doc_id", "text", "source")).collect())
+        assert got == +want
+        most = Counter(rows)
+        full = Counter(map(tuple, taken.collect()))
+        assert all(n <= 2 * most[r] for r, n in full.items())
+        assert full == Counter(map(tuple, mixing.take(d.repartition(3), mixed).collect()))
+
+
+def test_line_dedup_counts_documents(spark):
+    """Four equal rows of a document and one other document are two documents."""
+    line = "a line of more than forty code points that repeats in the table"
+    rows = [(1, line)] * 4 + [(2, line)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.dedup_lines(d, min_docs=5).collect()} == {0}
+    for more in ([(3, line), (4, line), (5, "x\n" + line)], [(None, line), (None, line), (3, line), (4, line)]):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows + more, d.schema), min_docs=5).collect()
+        last = max(i for i, _ in rows + more if i is not None)
+        assert all((r["n_dropped"] == 0) == (r["doc_id"] == last) for r in got)
 
 
 def test_quality_weighs_the_draw(spark):
