@@ -64,6 +64,22 @@ def test_recall_where_leaves_are_small(spark):
     assert brute_links > 1000 and 0.95 * brute_links <= want <= brute_links
 
 
+def test_deep_trees_copy_a_vector_a_few_times():
+    """Copies a tree level off with its depth, and trees follow the rows."""
+    rng = np.random.default_rng(7)
+    x = embed_forest.unit(rng.standard_normal((8192, 64)))
+    margin = np.sqrt(2 - 2 * 0.93) / 8
+
+    def copies(leaf_rows, decay):
+        rows, codes = embed_forest.Tree(x, len(x), 0, leaf_rows, margin, decay, 42).leaves(x)
+        assert len(np.unique(rows)) == len(x) and codes.dtype == np.int32
+        return len(rows) / len(x)
+
+    assert copies(64, 0.75) < 3.2 < copies(128, 1.0)
+    trees = [embed_forest.trees_for(10 ** k, 2048, 0.93, 1.0, 0.75, 0.99) for k in range(3, 10)]
+    assert trees == sorted(trees) and trees[0] == embed_forest.MIN_TREES and trees[-1] <= 40
+
+
 def test_no_vectors(spark):
     assert embed_forest.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     nothing = spark.createDataFrame([(1, None, None), (2, None, 1)], "vec_id long, embedding array<float>, label int")
