@@ -109,3 +109,27 @@ def test_bootstrap_is_poisson(spark):
     n = 40_000
     got = spark.range(n).select(bootstrap_weight(F.col("id"), F.lit(3), 0).alias("w")).agg(F.avg("w").alias("m"), F.variance("w").alias("v"), F.avg((F.col("w") == 0).cast("int")).alias("z")).first()
     assert abs(got["m"] - 1) < 0.03 and abs(got["v"] - 1) < 0.05 and abs(got["z"] - 0.3679) < 0.01
+
+
+@pytest.mark.parametrize("block_rows, dense_cells", [(16, 0), (16, 1000), (1 << 17, 0), (60, 2)])
+def test_blocks_and_tables_make_the_same_tree(data, monkeypatch, block_rows, dense_cells):
+    from ordertide.operators import forest as module
+    monkeypatch.setattr(module, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(module, "DENSE_CELLS", dense_cells)
+    x, y, test = data
+    want, gains = brute_tree(x, y, test, 2)
+    tree = LocalTree(x, CAT, y, (~test).astype(int), 2)
+    assert np.allclose(tree.value[test], want[test]) and np.allclose(tree.gains, gains)
+
+
+def test_a_tree_of_150000_rows_is_one_task(spark, monkeypatch):
+    """No pass of Spark's over the exploded rows, and no table of them, for trees that a task can grow."""
+    from ordertide.operators import forest as module
+
+    def never(*_):
+        raise AssertionError("split by Spark")
+    monkeypatch.setattr(module, "_split_large", never)
+    rows = spark.range(150_000).select(F.col("id").alias("row"), F.col("id").alias("key"), (F.col("id") % 7).cast("double").alias("y"),
+                                       (F.col("id") % 5000 == 0).alias("is_test"), (F.col("id") % 7).alias("a"))
+    predicted, shares = forest(rows, ["a"], [True], 1, 2, bootstrap=False)
+    assert all(np.isclose(r["predicted"], r["row"] % 7) for r in predicted.collect()) and shares.count() == 1
