@@ -38,3 +38,8 @@ def test_no_task_gets_many_lines(spark, small_tasks):
 
 def test_few_lines_are_left_alone(spark):
     assert "REPARTITION_BY_NUM" not in sales.sales_by_order(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_standardized_groups_run_the_join_once(spark):
+    out = catalog.REGISTRY["standardize_groups"].fn(spark, SF_SMALL)
+    assert "l_orderkey" not in out._jdf.queryExecution().optimizedPlan().toString()
