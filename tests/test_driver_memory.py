@@ -1,10 +1,12 @@
 """Tables whose files are small and whose rows are not never go to the driver."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ordertide.operators.joins import join_sized
 from ordertide.sources.sales import sales_view
 from tests.conftest import SF_SMALL
 
@@ -44,3 +46,36 @@ def test_same_sales_by_either_join(spark, wide_dims):
 def test_small_dimensions_stay_broadcast(spark):
     plan = sales_view(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [o_custkey" in plan and "BroadcastHashJoin [l_partkey" in plan
+
+
+def _broadcast_columns(plan: str) -> set[str]:
+    """The columns that a plan's broadcasts scan."""
+    found, at = set(), []  # at: the depths of the broadcasts above a line
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        at = [x for x in at if x < depth]
+        if "BroadcastExchange" in line:
+            at.append(depth)
+        if at and "FileScan" in line:
+            found |= set(re.findall(r"(\w+)#", line.split("]")[0]))
+    return found
+
+
+def test_many_customers_do_not_go_to_few_nations(spark, wide_dims):
+    plan = sales_view(spark, wide_dims)._jdf.queryExecution().executedPlan().toString()
+    assert not {"c_custkey", "p_partkey"} & _broadcast_columns(plan), plan
+
+
+def test_many_rows_of_a_small_file_do_not_go_to_few(spark, tmp_path):
+    few = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    spark.range(ROWS * 3).select((F.col("id") * 0).alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    many = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    on = F.col("o_custkey") == F.col("c_custkey")
+    chosen = many.join(few, on)._jdf.queryExecution().executedPlan().toString()
+    assert "o_custkey" in _broadcast_columns(chosen)  # by the files' bytes
+    sized = join_sized(many, many, few, few, on, max_bytes=1 << 20)
+    sent = _broadcast_columns(sized._jdf.queryExecution().executedPlan().toString())
+    assert "c_custkey" in sent and "o_custkey" not in sent
+    assert sized.count() == few.where("c_custkey = 0").count() * ROWS * 3
+    merged = join_sized(many, many, few, few, on, max_bytes=1)
+    assert not _broadcast_columns(merged._jdf.queryExecution().executedPlan().toString())
