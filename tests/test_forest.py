@@ -133,3 +133,42 @@ def test_a_tree_of_150000_rows_is_one_task(spark, monkeypatch):
                                        (F.col("id") % 5000 == 0).alias("is_test"), (F.col("id") % 7).alias("a"))
     predicted, shares = forest(rows, ["a"], [True], 1, 2, bootstrap=False)
     assert all(np.isclose(r["predicted"], r["row"] % 7) for r in predicted.collect()) and shares.count() == 1
+
+
+def test_numpy_draws_sparks_bootstrap(spark):
+    """A tree over packed rows draws the weights that Spark's expression gives."""
+    from ordertide.operators.forest import drawn_weights
+    keys = np.random.default_rng(3).integers(-1 << 62, 1 << 62, 5000)
+    rows = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    for tree, seed in ((0, 0), (249, 7), (3, -1)):
+        want = [r["w"] for r in rows.select(bootstrap_weight(F.col("key"), F.lit(tree), seed).alias("w")).collect()]
+        assert drawn_weights(keys, tree, seed).tolist() == want
+
+
+def test_rows_are_packed_once_for_all_trees(spark, data, monkeypatch):
+    """Trees that a task can grow are no (row, tree) pairs of a shuffle, and are the trees of that path."""
+    from ordertide.operators import forest as module
+    rows = frame(spark, data)
+    dealt = grow(rows, ["a", "b", "z"], CAT, range(5), 2).collect()
+    want = {i: np.mean([r["value"] for r in dealt if r["row"] == i]) for i in np.flatnonzero(data[2]).tolist()}
+
+    def never(*_, **__):
+        raise AssertionError("rows exploded by tree")
+    monkeypatch.setattr(module, "grow", never)
+    monkeypatch.setattr(module, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(module, "PIECE_BYTES", 104)
+    got = {r["row"]: r["predicted"] for r in forest(rows.repartition(3), ["a", "b", "z"], CAT, 5, 2)[0].collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[i], want[i]) for i in got)
+
+
+@pytest.mark.parametrize("dense_cells", [0, 4])
+def test_columns_that_decide_others(data, monkeypatch, dense_cells):
+    """A column whose sums are another's added up splits as if it were counted itself."""
+    from ordertide.operators import forest as module
+    monkeypatch.setattr(module, "DENSE_CELLS", dense_cells)
+    x, y, test = data
+    x = [x[0], x[0] // 8, (x[0] // 16).astype(float)]
+    want, gains = brute_tree(x, y, test, 2)
+    tree = LocalTree(x, CAT, y, (~test).astype(int), 2)
+    assert [d and d[0] for d in tree.decider] == [None, 0, 1]
+    assert np.allclose(tree.value[test], want[test]) and np.allclose(tree.gains, gains)
