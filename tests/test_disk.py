@@ -2,8 +2,10 @@
 
 import os
 
+from ordertide.operators import supervised as SU
 from ordertide.plans import catalog
 from ordertide.session import ensure_checkpoint_dir, reliable_checkpoint
+from ordertide.sources.sales import sales_view
 from ordertide.sources.sinks import write_result
 from tests.conftest import SF_SMALL
 
@@ -19,6 +21,22 @@ def shuffled(spark) -> int:
     return sum("/shuffle_" in f and f.endswith(".data") for d in dirs for f in files(d))
 
 
+def test_classifier_writes_its_rows_once(spark, monkeypatch):
+    """Labels, hashes and the split are no further tables beside the rows, which go when the fit is done."""
+    top = ensure_checkpoint_dir(spark)
+    before, held, plain = files(top), [], SU.fit_features
+
+    def spied(train, *rest, **options):
+        held.append(sum(size for f, size in files(top).items() if f not in before) / sales_view(spark, SF_SMALL).count())
+        return plain(train, *rest, **options)
+
+    monkeypatch.setattr(SU, "fit_features", spied)
+    out = SU.fit_classifier(sales_view(spark, SF_SMALL))
+    assert held[0] < 60  # bytes a row
+    assert not [f for f in files(top) if "classifier-rows" in f and f not in before]
+    assert out["predictions"].count() == 1500 and out["summary"].count() == 1
+
+
 def test_shuffle_files_go_with_the_write(spark, tmp_path):
     rows = spark.range(1000).repartition(3, "id")
     before = shuffled(spark)
